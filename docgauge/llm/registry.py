@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from docgauge.llm import exact_dedup
+from docgauge.llm import byte_bpe, exact_dedup, packing, quality_rules, secrets
 
 QUERIES = {
+    "op1_byte_bpe": byte_bpe.query,
+    "op3_packing": packing.query,
+    "op5_quality_rules": quality_rules.query,
+    "op6_secret_scan": secrets.query,
     "op9_exact_dedup": exact_dedup.query,
 }
 
