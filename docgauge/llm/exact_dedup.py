@@ -32,15 +32,28 @@ def _blocks(text: Column, block_bytes: int) -> Column:
     return F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(raw, i * block_bytes + 1, F.lit(block_bytes)))
 
 
-def _pair(names: Column, i: Column, seed: int) -> Column:
-    """The name of the pair that begins at i; the last may stand alone, which the flag keeps apart from any pair."""
-    right = F.get(names, i + 1)
-    return F.xxhash64(F.lit(seed), F.get(names, i), F.coalesce(right, F.lit(0)), right.isNotNull())
+def _pairs(names: Column, seed: int, level: Column) -> Column:
+    """Neighbours at one level: the new name and what it stands for. The last may stand alone, which differs from any pair."""
 
+    def one(i: Column) -> Column:
+        left, right = F.get(names, i), F.get(names, i + 1)
+        content = F.concat_ws(",", left.cast("string"), right.cast("string"))
+        return F.struct(level.alias("level"), F.xxhash64(F.lit(seed), level, content).alias("name"), content.cast("binary").alias("content"))
 
-def _next_level(names: Column, seed: int) -> Column:
-    up = F.transform(F.sequence(F.lit(0), F.size(names) - 1, F.lit(2)), lambda i: _pair(names, i, seed))
-    return F.when(F.size(names) > 1, up).otherwise(names)
+    return F.transform(F.sequence(F.lit(0), F.size(names) - 1, F.lit(2)), one)
+
+
+def _named(names: Column, seed: int, depth: int) -> Column:
+    """Struct (names: of the last level, seen: every pair met on the way). A fold, so that each level is worked out once."""
+    seen = "array<struct<level:int,name:bigint,content:binary>>"
+    start = F.struct(names.cast("array<bigint>").alias("names"), F.array().cast(seen).alias("seen"))
+
+    def up(acc: Column, level: Column) -> Column:
+        pairs = _pairs(acc["names"], seed, level)
+        new = F.struct(F.transform(pairs, lambda p: p["name"]).cast("array<bigint>").alias("names"), F.concat(acc["seen"], pairs).cast(seen).alias("seen"))
+        return F.when(F.size(acc["names"]) > 1, new).otherwise(acc)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(depth)), start, up) if depth else start
 
 
 def _clash(named: DataFrame) -> bool:
@@ -55,38 +68,24 @@ def identities(docs: DataFrame, text_col: str = "text", block_bytes: int = BLOCK
     blocks = docs.select(_blocks(text, block_bytes).alias("blocks"))
     most = docs.select(F.max(F.octet_length(text)).alias("n")).first()["n"] or 0
     depth = max(0, (max(1, -(-most // block_bytes)) - 1).bit_length())
+    hashed = lambda c, seed: F.transform(c, lambda b: F.xxhash64(F.lit(seed), b))
     for seed in range(SEEDS):
-        base = lambda c: F.transform(c, lambda b: F.xxhash64(F.lit(seed), b))  # noqa: E731, B023
-        flat = blocks.select(F.explode("blocks").alias("content")).select(
-            F.lit(0).alias("level"), F.xxhash64(F.lit(seed), "content").alias("name"), "content"
-        )
-        ok = not _clash(flat)
-        if ok and depth:
-            level = blocks.where(F.size("blocks") > 1).select(base(F.col("blocks")).alias("names")).distinct()
-            pairs = []
-            for k in range(depth):
-                names = F.col("names")
-                at = F.transform(
-                    F.sequence(F.lit(0), F.size(names) - 1, F.lit(2)),
-                    lambda i: F.struct(_pair(names, i, seed).alias("name"), F.to_binary(F.concat_ws("", F.lpad(F.hex(F.get(names, i)), 16, "0"), F.lpad(F.hex(F.get(names, i + 1)), 16, "0")), F.lit("hex")).alias("content")),  # noqa: B023
-                )
-                pairs.append(level.where(F.size("names") > 1).select(F.explode(at).alias("x")).select(F.lit(k + 1).alias("level"), "x.name", "x.content"))
-                level = level.select(_next_level(names, seed).alias("names"))
-            every = pairs[0]
-            for more in pairs[1:]:
-                every = every.unionByName(more)
-            ok = not _clash(every)
-        if ok:
+        flat = blocks.select(F.explode("blocks").alias("content"))
+        flat = flat.select(F.lit(0).alias("level"), F.xxhash64(F.lit(seed), "content").alias("name"), "content")
+        if _clash(flat):
+            continue
+        if not depth:
+            break
+        long = blocks.where(F.size("blocks") > 1).select(hashed(F.col("blocks"), seed).alias("names")).distinct()
+        pairs = long.select(F.explode(_named(F.col("names"), seed, depth)["seen"]).alias("x"))
+        if not _clash(pairs.select("x.*")):
             break
     else:
         raise RuntimeError(f"no seed below {SEEDS} names the blocks without a collision")
-    names = F.transform(_blocks(text, block_bytes), lambda b: F.xxhash64(F.lit(seed), b))
-    count = F.size(names)
-    out = docs.withColumn(into, names).withColumn(f"{into}__n", count)
-    for _ in range(depth):
-        out = out.withColumn(into, _next_level(F.col(into), seed))
-    levels = F.ceil(F.log2(F.col(f"{into}__n").cast("double"))).cast("int")
-    return out.withColumn(into, F.struct(levels.alias("levels"), F.get(F.col(into), F.lit(0)).alias("name"))).drop(f"{into}__n")
+    count = F.greatest(F.lit(1), F.ceil(F.octet_length(text) / F.lit(block_bytes)))
+    levels = F.ceil(F.log2(count.cast("double"))).cast("int")
+    names = _named(hashed(_blocks(text, block_bytes), seed), seed, depth)["names"]
+    return docs.withColumn(into, F.struct(levels.alias("levels"), F.get(names, F.lit(0)).alias("name")))
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
