@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from docgauge.llm import byte_bpe, exact_dedup, packing, quality_rules, secrets
+from docgauge.llm import byte_bpe, exact_dedup, html_text, packing, quality_model, quality_rules, secrets
 
 QUERIES = {
     "op1_byte_bpe": byte_bpe.query,
     "op3_packing": packing.query,
+    "op4_html_text": html_text.query,
     "op5_quality_rules": quality_rules.query,
     "op6_secret_scan": secrets.query,
+    "op7_quality_model": quality_model.query,
     "op9_exact_dedup": exact_dedup.query,
 }
 
