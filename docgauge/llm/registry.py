@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from docgauge.llm import byte_bpe, exact_dedup, html_text, jaccard_join, packing, quality_model, quality_rules, secrets
+from docgauge.llm import byte_bpe, exact_dedup, html_text, jaccard_join, language_model, packing, quality_model, quality_rules, secrets
 
 QUERIES = {
     "op1_byte_bpe": byte_bpe.query,
+    "op2_language_model": language_model.query,
     "op3_packing": packing.query,
     "op4_html_text": html_text.query,
     "op5_quality_rules": quality_rules.query,
