@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docgauge.llm import byte_bpe, exact_dedup, html_text, jaccard_join, language_model, packing, quality_model, quality_rules, secrets
+from docgauge.llm import byte_bpe, exact_dedup, html_text, jaccard_join, language_model, packing, quality_model, quality_rules, secrets, substring_dedup
 
 QUERIES = {
     "op1_byte_bpe": byte_bpe.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_quality_rules": quality_rules.query,
     "op6_secret_scan": secrets.query,
     "op7_quality_model": quality_model.query,
+    "op8_substring_dedup": substring_dedup.query,
     "op9_exact_dedup": exact_dedup.query,
     "op10_jaccard_join": jaccard_join.query,
 }
