@@ -49,7 +49,6 @@ def _found(text: Column, pattern: str, kind: str, group: int = 0) -> Column:
     steps = F.zip_with(F.zip_with(gaps, whole, lambda g, m: F.struct(F.length(g).alias("gap"), F.length(m).alias("len"))), value, lambda x, v: F.struct(x["gap"].alias("gap"), x["len"].alias("len"), v.alias("value")))
     steps = F.slice(steps, 1, F.size(whole))
     span = "struct<start:int,rank:int,end:int,value:string>"
-    empty = F.struct(F.lit(0).alias("at"), F.lit(None).cast(f"array<{span}>").alias("spans"))
     empty = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{span}>").alias("spans"))
 
     def step(acc: Column, x: Column) -> Column:
@@ -86,7 +85,9 @@ def random_sample(spark, n: int = RANDOM_STRINGS) -> DataFrame:
 
 def ordinary_sample(docs: DataFrame, id_col: str, text_col: str, n: int = ORDINARY_DOCS) -> DataFrame:
     """Strings labelled ordinary: words of n documents, taken by the hash of their ids, and identifiers made of them."""
-    some = docs.select(F.xxhash64(F.col(id_col)).alias("h"), F.substring(F.col(text_col), 1, 4000).alias("t")).orderBy("h", "t").limit(n)
+    # Only ids go through the top n, 16 bytes each; the texts are then read where they are.
+    ids = docs.select(F.col(id_col).alias("__id")).distinct().orderBy(F.xxhash64("__id"), "__id").limit(n)
+    some = docs.select(F.col(id_col).alias("__own"), F.col(text_col).alias("t")).join(F.broadcast(ids), F.col("__own") == F.col("__id"), "left_semi")
     words = F.filter(F.regexp_extract_all("t", F.lit(r"(?<![A-Za-z0-9+/_=-])[A-Za-z]+(?![A-Za-z0-9+/_=-])"), F.lit(0)), lambda w: F.length(w) > 1)
     w = some.select(words.alias("w")).where(F.size("w") > 3)
     at = lambda i, k: F.get("w", i + k)
