@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -131,13 +132,31 @@ def built(kind: str, raw: bytes, make):
     return _BUILT[key]
 
 
-def encoder(raw: bytes, pattern: str):
-    """A function from text to packed ids."""
+# The pattern that most byte-level vocabularies split by, and what its classes are among LATIN characters.
+GENERAL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+LATIN = r"\x00-\x7f\xc0-\xd6\xd8-\xf6\xf8-\u024f"
+LATIN_LETTERS, LATIN_SPACE = r"A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f", r"\t\n\x0b\x0c\r "
+
+
+def splitter(pattern: str):
+    """A function from text to the matches of the pattern. Texts of LATIN characters alone are split by the standard
+    library, with the general pattern's classes written out: the same matches in half the time."""
     import regex
 
+    split = regex.compile(pattern).findall
+    if pattern != GENERAL:
+        return split
+    w, s = LATIN_LETTERS, LATIN_SPACE
+    latin = re.compile(rf" ?(?:[{w}]+|[0-9]+)|'(?:[stmd]|re|ve|ll)| ?[^{s}{w}0-9]+|[{s}]+(?![^{s}])|[{s}]+").findall
+    other = re.compile(rf"[^{LATIN}]").search
+    return lambda text: split(text) if other(text) else latin(text)
+
+
+def encoder(raw: bytes, pattern: str):
+    """A function from text to packed ids."""
     tokens = Encoder(read_ranks(raw))
     memo = Memo(lambda piece: tokens.encode(piece.encode("utf-8")))
-    split = regex.compile(pattern).findall
+    split = splitter(pattern)
     return lambda text: b"".join(map(memo.__getitem__, split(text)))
 
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docgauge.llm.byte_bpe import Memo, built
+from docgauge.llm.byte_bpe import Memo, built, splitter
 from docgauge.llm.common import documents, materialise, ship, shuffle_width
 
 CAPACITY, CLOSING_ID = 1024, 0
@@ -32,14 +32,13 @@ CAPACITY, CLOSING_ID = 1024, 0
 
 
 def tokenizer(raw: bytes, pattern: str):
-    """A function from text to packed ids, by the tokenizers library for each piece of the pattern that is not in the memo."""
-    import regex
+    """A function from text to packed ids, by the tokenizers library for each match of the pattern that is not in the memo."""
     from tokenizers import Tokenizer
 
     own = Tokenizer.from_str(raw.decode("utf-8"))
     own.encode_special_tokens = True
     memo = Memo(lambda piece: own.encode(piece, add_special_tokens=False).ids)
-    split = regex.compile(pattern).findall
+    split = splitter(pattern)
     return lambda text: b"".join(map(memo.__getitem__, split(text)))
 
 
