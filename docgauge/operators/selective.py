@@ -28,7 +28,8 @@ def case_confidence(fields: DataFrame, confidence_field: str = "confidence") ->
     it is rounded to 12 places so that ties are ties in any engine.
     """
     said = F.max(F.when(F.col("field") == confidence_field, parse_number(F.col("predicted"))))
-    share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.when(F.col("said") > 1, F.col("said") / 100).otherwise(F.col("said"))))
+    scaled = F.when(F.col("said") > 1, F.col("said") / 100).otherwise(F.col("said"))
+    share = F.when(F.col("said").isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), scaled)))  # least() passes over nulls
     others = F.avg(F.when(F.col("field") != confidence_field, F.col("score")))
     summed = fields.groupBy("run", "case_id").agg(
         said.alias("said"), F.coalesce(others, F.lit(0.0)).alias("mean_score"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("outcome") == "correct").alias("correct"), F.count_if(F.col("outcome") == "hallucinated").alias("hallucinated"))
@@ -51,15 +52,15 @@ def running(df: DataFrame, by: Sequence[str], confidence: str, tie_col: str, sum
     cut = df.join(edges, list(by))
     above = F.size(F.filter("__edges", lambda e: e > F.col(confidence)))
     at_edge = F.array_contains("__edges", F.col(confidence))
-    cut = cut.withColumn("__bucket", F.struct((2 * above + (~at_edge).cast("int")).alias("k"), F.when(at_edge, F.substring(tie_col, 1, 2)).otherwise(F.lit("")).alias("t"))).drop("__edges")
-    totals = cut.groupBy(*by, "__bucket").agg(F.count(F.lit(1)).alias("__n"), *[F.sum(c).alias(f"__{c}") for c in sums])
+    cut = cut.withColumn("__bucket", F.struct((2 * above + at_edge.cast("int")).alias("k"), F.when(at_edge, F.substring(tie_col, 1, 2)).otherwise(F.lit("")).alias("t"))).drop("__edges")
+    totals = cut.groupBy(*by, "__bucket").agg(F.count(F.lit(1)).alias("__sum_rows"), *[F.sum(c).alias(f"__sum_{c}") for c in sums])
     before = Window.partitionBy(*by).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)  # a few thousand rows at most
-    offsets = totals.select(*by, F.col("__bucket"), *[F.coalesce(F.sum(f"__{c}").over(before), F.lit(0)).alias(f"__before_{c}") for c in ("n", *sums)])
+    offsets = totals.select(*by, F.col("__bucket"), *[F.coalesce(F.sum(f"__sum_{c}").over(before), F.lit(0)).alias(f"__before_{c}") for c in ("rows", *sums)])
     inside = Window.partitionBy(*by, "__bucket").orderBy(F.desc(confidence), tie_col)
     upto = inside.rowsBetween(Window.unboundedPreceding, 0)
-    out = cut.join(offsets, [*by, "__bucket"]).withColumn("rank", F.row_number().over(inside) + F.col("__before_n"))
+    out = cut.join(offsets, [*by, "__bucket"]).withColumn("rank", F.row_number().over(inside) + F.col("__before_rows"))
     out = out.withColumns({f"cum_{c}": F.sum(c).over(upto) + F.col(f"__before_{c}") for c in sums})
-    return out.drop("__bucket", *[f"__before_{c}" for c in ("n", *sums)])
+    return out.drop("__bucket", *[f"__before_{c}" for c in ("rows", *sums)])
 
 
 def risk_coverage(confident: DataFrame, seed: int = SEED) -> DataFrame:

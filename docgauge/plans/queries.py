@@ -141,7 +141,7 @@ def tag_counts(spark, d):
     return metrics.tag_counts(cases(spark, d))
 
 
-@query("field_names", _with(0) + " SELECT run, string_agg(field, ',' ORDER BY at) AS field_names FROM (SELECT run, field, min(case_pos * 100 + field_pos) AS at FROM f0 GROUP BY ALL) GROUP BY run")
+@query("field_names", _with(0) + " SELECT run, string_agg(field, ',' ORDER BY place) AS field_names FROM (SELECT run, field, min(case_pos * 100 + field_pos) AS place FROM f0 GROUP BY ALL) GROUP BY run")
 def field_names(spark, d):
     return metrics.field_names(scored(spark, d)).select("run", F.array_join("field_names", ",").alias("field_names"))
 
@@ -351,19 +351,19 @@ _DATES = f"CASE o_orderkey % 6 WHEN 0 THEN {_D} || '/' || {_M} || '/' || {_Y} WH
 _MONTH_OF = "CASE month(o_orderdate) " + " ".join(f"WHEN {i} THEN '{m}'" for i, m in enumerate(("janeiro", "fev", "março", "abril", "mai", "junho", "jul", "agosto", "setembro", "out", "novembro", "dez"), 1)) + " END"
 
 
-@query("parse_date", "SELECT o_orderkey, CASE WHEN o_orderkey % 6 < 4 THEN CAST(o_orderdate AS DATE) END AS x FROM orders")
+@query("parse_date", "SELECT o_orderkey, CASE WHEN o_orderkey % 6 < 4 THEN CAST(CAST(o_orderdate AS DATE) AS VARCHAR) END AS x FROM orders")
 def parse_date(spark, d):
     tables(spark, d, "orders")
-    return spark.sql(f"SELECT o_orderkey, {_DATES} AS v FROM (SELECT *, {_MONTH_OF} AS m FROM orders)").select("o_orderkey", parse.parse_date(F.col("v")).alias("x"))
+    return spark.sql(f"SELECT o_orderkey, {_DATES} AS v FROM (SELECT *, {_MONTH_OF} AS m FROM orders)").select("o_orderkey", parse.parse_date(F.col("v")).cast("string").alias("x"))
 
 
 _RAW = "CASE event_id % 6 WHEN 0 THEN '```json\n' || props || '\n```' WHEN 1 THEN props WHEN 2 THEN 'The answer is ' || props || ', I think.' WHEN 3 THEN '[' || props || ', {}]' WHEN 4 THEN '{broken' ELSE '' END"
 
 
-@query("json_recovery", "SELECT event_id, CASE WHEN event_id % 6 < 4 THEN CAST(json_extract(props, '$.k') AS BIGINT) END AS k FROM events")
+@query("json_recovery", "SELECT event_id, CASE WHEN event_id % 6 < 4 THEN CAST(json_extract(props, '$.k') AS VARCHAR) END AS k FROM events")
 def json_recovery(spark, d):
     tables(spark, d, "events")
-    return spark.sql(f"SELECT event_id, {_RAW} AS raw FROM events").select("event_id", F.try_variant_get(parse.parse_json(F.col("raw")), "$.k", "bigint").alias("k"))
+    return spark.sql(f"SELECT event_id, {_RAW} AS raw FROM events").select("event_id", F.try_variant_get(parse.parse_json(F.col("raw")), "$.k", "string").alias("k"))
 
 
 # Corpus and cache
