@@ -45,9 +45,15 @@ def poisson_weight(u: Column) -> Column:
 def replicate_sums(vectors: DataFrame, columns: Sequence[str], iterations: int = ITERATIONS, seed: int = SEED, method: str = "poisson", by: Sequence[str] = ("run",)) -> DataFrame:
     """For each group and replicate b, the weighted sums of the columns."""
     if method == "poisson":
-        each = vectors.select(*by, "case_id", *columns, F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))).alias("b"))
-        weight = poisson_weight(hashed(F.lit(seed), F.col("b"), F.col("case_id")))
-        weighted = each.withColumn("w", weight).where("w > 0")
+        # Cases with equal columns are summed as one pattern: what is counted for each case is one weight, not every column.
+        # One digest serves four replicates.
+        keyed = vectors.withColumn("__pattern", F.xxhash64(*columns))
+        quads = keyed.select(*by, "__pattern", "case_id", F.explode(F.sequence(F.lit(0), F.lit((iterations - 1) // 4))).alias("q"))
+        digest = quads.withColumn("h", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("q").cast("string"), F.col("case_id").cast("string"))))
+        part = lambda k: poisson_weight(F.conv(F.substring("h", 1 + 8 * k, 8), 16, 10).cast("long"))
+        each = digest.select(*by, "__pattern", "q", F.posexplode(F.array(*[part(k) for k in range(4)])).alias("k", "w"))
+        counted = each.withColumn("b", 4 * F.col("q") + F.col("k")).where((F.col("w") > 0) & (F.col("b") < iterations)).groupBy(*by, "__pattern", "b").agg(F.sum("w").alias("w"))
+        weighted = counted.join(keyed.select(*by, "__pattern", *columns).distinct(), [*by, "__pattern"])
     else:
         place = F.row_number().over(Window.partitionBy(*by).orderBy("case_id")) - 1
         placed = vectors.withColumn("pos", place)

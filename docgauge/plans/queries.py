@@ -43,6 +43,11 @@ def vectors(spark: SparkSession, d: str, k: int = 0) -> DataFrame:
     return metrics.case_vectors(scored(spark, d, k), NAMES, CRITICAL)
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """Sums for each case that a query reads more than once: worked out once."""
+    return df.persist()
+
+
 def r9(c: str):
     return F.round(F.col(c), 9).alias(c)
 
@@ -148,7 +153,7 @@ def field_names(spark, d):
 
 # Resampling
 
-_U = lambda b, x: f"CAST('0x' || substr(md5('{SEED}|' || {b} || '|' || {x}), 1, 8) AS BIGINT)"
+_U = lambda b, x: f"CAST('0x' || substr(md5('{SEED}|' || ({b} // 4) || '|' || {x}), 1 + 8 * ({b} % 4), 8) AS BIGINT)"
 _WEIGHT = " + ".join(f"CAST(u >= {int(p * 2**32)} AS INT)" for p in resample.POISSON)
 _BOUNDS = lambda c: f"list_sort(list({c}))[{int(0.025 * ITERATIONS) + 1}] AS low, list_sort(list({c}))[{ITERATIONS - int(0.025 * ITERATIONS)}] AS high"
 _STATS = {"macro_accuracy": _MACRO(), "all_fields_correct": "sum(all_ok) / sum(one)"} | {f"accuracy:{n}": f"sum(ok_{i}) / sum(n_{i})" for i, n in enumerate(NAMES)}
@@ -164,7 +169,7 @@ def _ci_sql(weighted: str) -> str:
 
 
 def _ci(spark, d, method):
-    out = resample.bootstrap_ci(vectors(spark, d), NAMES, WEIGHTS, ITERATIONS, SEED, method)
+    out = resample.bootstrap_ci(kept(vectors(spark, d)), NAMES, WEIGHTS, ITERATIONS, SEED, method)
     return out.select("statistic", r9("value"), r9("low"), r9("high"))
 
 
@@ -188,13 +193,13 @@ _DIFF_SQL = (
 
 @query("paired_diff", _DIFF_SQL + " SELECT statistic, n_paired, round(baseline, 9) AS baseline, round(candidate, 9) AS candidate, round(candidate - baseline, 9) AS delta, round(low, 9) AS low, round(high, 9) AS high, low > 0 OR high < 0 AS significant FROM point JOIN ci USING (statistic)")
 def paired_diff(spark, d):
-    out = diff.diff_runs(vectors(spark, d, 0), vectors(spark, d, 1), NAMES, WEIGHTS, ITERATIONS, SEED)
+    out = diff.diff_runs(kept(vectors(spark, d, 0)), kept(vectors(spark, d, 1)), NAMES, WEIGHTS, ITERATIONS, SEED)
     return out.select("statistic", "n_paired", *map(r9, ("baseline", "candidate", "delta", "low", "high")), "significant")
 
 
 @query("regressions", _DIFF_SQL + " SELECT statistic, CASE WHEN candidate < baseline THEN 'regression' ELSE 'improvement' END AS kind FROM point JOIN ci USING (statistic) WHERE statistic LIKE 'accuracy:%' AND (low > 0 OR high < 0) AND candidate <> baseline")
 def regressions(spark, d):
-    out = diff.diff_runs(vectors(spark, d, 0), vectors(spark, d, 1), NAMES, WEIGHTS, ITERATIONS, SEED)
+    out = diff.diff_runs(kept(vectors(spark, d, 0)), kept(vectors(spark, d, 1)), NAMES, WEIGHTS, ITERATIONS, SEED)
     bad, good = diff.regressions(out), diff.improvements(out)
     return bad.select("statistic", F.lit("regression").alias("kind")).unionByName(good.select("statistic", F.lit("improvement").alias("kind")))
 
@@ -212,7 +217,7 @@ _CURVE = _with(0) + _CONF + f", curve AS (SELECT run, case_id, row_number() OVER
 
 
 def _curve(spark, d):
-    return selective.risk_coverage(selective.case_confidence(scored(spark, d)))
+    return selective.risk_coverage(kept(selective.case_confidence(scored(spark, d))))
 
 
 @query("risk_coverage_curve", _CURVE + " SELECT case_id, n_accepted, round(n_accepted / n_cases, 9) AS coverage, round(good / n_accepted, 9) AS accuracy, round(1 - good / n_accepted, 9) AS risk, round(bad / seen, 9) AS hallucination_rate FROM curve")
@@ -225,7 +230,7 @@ _RANDOM = f", trials AS (SELECT trial, case_id, ok, md5('{selective.SEED}|' || t
 
 @query("selective_report", _CURVE + _RANDOM + ", a AS (SELECT avg(1 - good / n_accepted) AS own, count(*) AS n FROM curve), r AS (SELECT avg(x) AS chance FROM (SELECT avg(risk) AS x FROM ranked GROUP BY trial)) SELECT n AS n_cases, 'mean field score' AS source, round(own, 9) AS aurc, round(chance, 9) AS random_aurc, round(greatest(0, (chance - own) / chance), 9) AS ranking_gain FROM a, r")
 def selective_report(spark, d):
-    return selective.selective_report(scored(spark, d)).select("n_cases", "source", r9("aurc"), r9("random_aurc"), r9("ranking_gain"))
+    return selective.selective_report(kept(scored(spark, d))).select("n_cases", "source", r9("aurc"), r9("random_aurc"), r9("ranking_gain"))
 
 
 @query("operating_points", _CURVE + " SELECT target, n_accepted, round(good / n_accepted, 9) AS accuracy FROM curve JOIN (SELECT unnest([0.5, 0.6, 0.7, 0.8, 0.9, 1.0])::DOUBLE AS target) ON n_accepted = greatest(1, least(n_cases, round_even(target * n_cases, 0)::BIGINT))")
@@ -260,7 +265,7 @@ _HOLDOUT = (
 
 @query("holdout", _HOLDOUT)
 def holdout(spark, d):
-    out = selective.holdout(selective.case_confidence(scored(spark, d)), 0.95, _SPLITS)
+    out = selective.holdout(kept(selective.case_confidence(scored(spark, d))), 0.95, _SPLITS)
     return out.select("target", *map(r9, ("coverage", "accuracy", "hit_rate", "lift")))
 
 
