@@ -10,6 +10,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes in an Arrow batch between Spark and Python.
+ARROW_BYTES = 4 << 20
 # The white space that ends a word.
 WORD_SPACE = r"[\x20\x09-\x0D]"
 #: A-Z and a-z, for lower-casing that leaves every other letter alone.
@@ -37,6 +39,15 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a narrow table (a few numbers each) that are broadcast at most; some tens of MB on an executor.
+BROADCAST_ROWS = 1_000_000
+
+
+def sized(table: DataFrame) -> DataFrame:
+    """A written table, marked for broadcast if it has at most BROADCAST_ROWS rows; beyond that a join shuffles both sides."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
 def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
@@ -53,6 +64,8 @@ def shuffle_width(df: DataFrame) -> int:
 def ship(spark: SparkSession) -> None:
     """Sends this package to the Python workers, once for each context, so that they can import it wherever they run."""
     context = spark.sparkContext
+    # Batches are bounded by bytes as well as rows: texts can be long.
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     if getattr(context, "_docgauge_shipped", False):
         return
     root = Path(__file__).resolve().parents[1]

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docgauge.llm.common import documents
+from docgauge.llm.common import documents, materialise, sized
 
 #: Bytes in a block.
 BLOCK_BYTES = 4096
@@ -103,12 +103,17 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bloc
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows of which an equal text with a larger id is there; same columns."""
-    keyed = identities(docs, text_col, into="__identity").withColumn("__key", F.concat_ws(":", "__identity.levels", "__identity.name"))
-    copied = keyed.groupBy("__key").agg(F.max(id_col).alias("__keep"), F.count(F.lit(1)).alias("__n")).where("__n > 1")
-    copied = copied.select(F.concat(F.lit("="), "__key").alias("__key"), "__keep", "__n")
-    joined = keyed.withColumn("__key", F.concat(F.lit("="), "__key")).join(copied, "__key", "left")
-    return joined.where(F.col("__n").isNull() | F.col(id_col).eqNullSafe(F.col("__keep"))).select(*docs.columns)
+    """docs without the rows of which an equal text with a larger id is there; same columns.
+
+    What is joined to the texts is a table of the copied texts' names alone, written first so that its size is known: it
+    is broadcast up to a fixed size, and both sides are shuffled beyond.
+    """
+    keyed = identities(docs, text_col, into="__identity").withColumns({"__levels": F.col("__identity.levels"), "__name": F.col("__identity.name")})
+    copied = keyed.groupBy("__levels", "__name").agg(F.max(id_col).alias("__keep"), F.count(F.lit(1)).alias("__n")).where("__n > 1")
+    copied = materialise(copied.select(F.col("__levels").alias("__l"), F.col("__name").alias("__m"), "__keep"), "copied")
+    copied = sized(copied)
+    joined = keyed.join(copied, (F.col("__levels") == F.col("__l")) & (F.col("__name") == F.col("__m")), "left")
+    return joined.where(F.col("__m").isNull() | F.col(id_col).eqNullSafe(F.col("__keep"))).select(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
