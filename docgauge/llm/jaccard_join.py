@@ -29,14 +29,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docgauge.llm.common import documents, materialise, ship, shuffle_width
+from docgauge.llm.common import documents, materialise, ship, shuffle_width, sized
 from docgauge.llm.components import connected
 from docgauge.llm.shingles import fingerprint, shingles
 
 #: Words in an n-gram and least similarity, in hundredths, where no contract says otherwise.
 WORDS, PERCENT = 5, 80
-#: Share of tokens that are counted, as a part of 2^64; text read before postings are sent on.
-SAMPLE, CHUNK_CHARS = 0.25, 16_000_000
+#: Share of tokens that are counted, as a part of 2^64; text read before postings are sent on. A share near that of the first
+#: tokens leaves no choice of rare ones, and common passages then chain unlike documents into one large group.
+SAMPLE, CHUNK_CHARS = 0.6, 16_000_000
 BLOCK, TOKEN_GROUP, COLUMNS = 512, 32, 8192
 _LIMIT = np.uint64(int(SAMPLE * 2**64))
 
@@ -268,8 +269,11 @@ def _links(docs: DataFrame, grouped: DataFrame, words: int, percent: int, width:
     sizes = grouped.groupBy("label").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     placed = grouped.join(sizes, "label").select("doc_id", "fp", "label", blocks.alias("blocks"), F.pmod(F.xxhash64("fp"), blocks).cast("int").alias("block"))
-    # One row of documents for a class: repeated ids would only repeat equal sets.
-    texts = docs.join(placed, "doc_id").select("fp", "label", "blocks", "block", "text")
+    # Texts of no group are put aside first, by ids alone. Repeated ids would only repeat equal sets.
+    placed = materialise(placed, "grouped")
+    ids = sized(placed.select(F.col("doc_id").alias("__id")))
+    some = docs.join(ids, F.col("doc_id") == F.col("__id"), "left_semi")
+    texts = some.join(placed, "doc_id").select("fp", "label", "blocks", "block", "text")
 
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -322,8 +326,8 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """docs with one document of each component, that with the smallest id; same columns."""
     found = components(docs, id_col, text_col, words, percent)
-    lost = found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__lost")).distinct()
-    return docs.join(lost, F.col(id_col) == F.col("__lost"), "left_anti")
+    lost = materialise(found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__lost")).distinct(), "lost")
+    return docs.join(sized(lost), F.col(id_col) == F.col("__lost"), "left_anti")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
