@@ -10,8 +10,13 @@ PAD = 72
 
 def words_at(data: np.ndarray) -> np.ndarray:
     """The eight bytes from each place on, as one big-endian integer; data has PAD more bytes at its end."""
-    view = np.lib.stride_tricks.as_strided(data[: len(data) - 7].view(np.uint8), (len(data) - 7, 8), (1, 1))
-    return np.ascontiguousarray(view).view(">u8").ravel().astype(np.uint64)
+    return little_words_at(data).byteswap()
+
+
+def little_words_at(data: np.ndarray) -> np.ndarray:
+    """The same with the first byte lowest, which is how the machine reads them."""
+    data = np.ascontiguousarray(data)
+    return np.ndarray((len(data) - 7,), "<u8", data, strides=(1,)).astype(np.uint64)
 
 
 def suffix_array(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
