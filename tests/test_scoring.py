@@ -55,7 +55,7 @@ CASES = [
     (SET, ["a"], 5, "malformed", 0.0),
     (SET, 5, ["a"], "malformed", 0.0),
     (SET, [], ["a"], "hallucinated", 0.0),
-    (FieldSpec("x", "no such mode"), "A", "a", "correct", 1.0),
+    (FieldSpec("x", "no such mode"), "A", "a", "wrong", 0.0),  # as text, under no normalisers
 ]
 
 
