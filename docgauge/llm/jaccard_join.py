@@ -306,7 +306,7 @@ def _links(docs: DataFrame, grouped: DataFrame, words: int, percent: int, width:
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """id_col, n_shingles, component_id for each row of docs."""
     width = shuffle_width(docs)
-    buckets = 4 * width
+    buckets = width  # packed rows go from each bucket to each part, so more of either would be their square
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     each = materialise(sets(slim, words, percent), "sets")
     classes = materialise(each.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("s").alias("s")), "classes")
