@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from docgauge.llm.common import documents, ship
 
 #: Entries in a memo before it starts anew; longer pieces are never kept.
-MEMO, MEMO_PIECE = 500_000, 48
+MEMO, MEMO_PIECE = 150_000, 48
 _INF = 1 << 62
 
 

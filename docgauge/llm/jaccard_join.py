@@ -37,7 +37,7 @@ from docgauge.llm.shingles import fingerprint, shingles
 WORDS, PERCENT = 5, 80
 #: Share of tokens that are counted, as a part of 2^64; text read before postings are sent on. A share near that of the first
 #: tokens leaves no choice of rare ones, and common passages then chain unlike documents into one large group.
-SAMPLE, CHUNK_CHARS = 0.6, 16_000_000
+SAMPLE, CHUNK_CHARS = 0.6, 8_000_000
 BLOCK, TOKEN_GROUP, COLUMNS = 512, 32, 8192
 _LIMIT = np.uint64(int(SAMPLE * 2**64))
 
@@ -128,7 +128,7 @@ def _postings(docs: DataFrame, words: int, percent: int, buckets: int) -> DataFr
     return docs.select("text").mapInArrow(run, "bucket long, tokens binary, place binary, fps binary")
 
 
-def _shared(postings: DataFrame, buckets: int, width: int) -> DataFrame:
+def _shared(postings: DataFrame, parts: int, width: int) -> DataFrame:
     """part, fp, tokens, counts: of each class (packed for each part of the classes) the tokens that another class holds too, and how many do."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,7 +144,7 @@ def _shared(postings: DataFrame, buckets: int, width: int) -> DataFrame:
             df = counts[inverse]
             keep = df > 1
             tokens, fps, df = tokens[keep], fps[keep], df[keep].astype(np.int64)
-            part = np.mod(fps, buckets)
+            part = np.mod(fps, parts)
             order = np.argsort(part, kind="stable")
             tokens, fps, df, part = tokens[order], fps[order], df[order], part[order]
             cuts = np.flatnonzero(np.diff(part, prepend=-1, append=-1))
@@ -157,10 +157,10 @@ def _shared(postings: DataFrame, buckets: int, width: int) -> DataFrame:
     return _sorted(postings, "bucket", width).mapInArrow(run, "part long, fps binary, tokens binary, counts binary")
 
 
-def _first_shared(shared: DataFrame, classes: DataFrame, buckets: int, width: int, percent: int) -> DataFrame:
+def _first_shared(shared: DataFrame, classes: DataFrame, parts: int, width: int, percent: int) -> DataFrame:
     """token, fp: the first tokens of each class that another class holds too."""
     own = classes.where("n > 0").select("fp", "n", "s")
-    own = own.withColumn("part", F.pmod("fp", F.lit(buckets)).cast("long"))  # as in _shared
+    own = own.withColumn("part", F.pmod("fp", F.lit(parts)).cast("long"))  # as in _shared
     empty = F.lit(None).cast("binary")
     rows = own.select("part", "fp", "n", "s", empty.alias("fps"), empty.alias("tokens"), empty.alias("counts"))
     none = F.lit(None).cast("long")
@@ -306,11 +306,11 @@ def _links(docs: DataFrame, grouped: DataFrame, words: int, percent: int, width:
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """id_col, n_shingles, component_id for each row of docs."""
     width = shuffle_width(docs)
-    buckets = width  # packed rows go from each bucket to each part, so more of either would be their square
+    buckets, parts = 2 * width, width  # packed rows go from each bucket to each part, so there are few of either
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     each = materialise(sets(slim, words, percent), "sets")
     classes = materialise(each.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("s").alias("s")), "classes")
-    first = materialise(_first_shared(_shared(_postings(slim, words, percent, buckets), buckets, width), classes, buckets, width, percent), "first-tokens")
+    first = materialise(_first_shared(_shared(_postings(slim, words, percent, buckets), parts, width), classes, parts, width, percent), "first-tokens")
     heads = first.groupBy("token").agg(F.min("fp").alias("head"))
     groups = connected(first.join(heads, "token").where("fp <> head").select(F.col("fp").alias("a"), F.col("head").alias("b")))
     grouped = groups.join(classes, groups.node == classes.fp).select("fp", "label", "doc_id")
