@@ -1,10 +1,12 @@
 """Quality rules whose cutoffs are risk-controlled, in DataFrame functions only.
 
 Each rule compares one statistic of a text with a cutoff. The cutoffs are chosen for each stratum (language) on a
-labelled holdout: of a grid of candidates, the strictest whose exact (Clopper-Pearson) upper bound on the share of good
-documents that it rejects is at most RISK / number of rules. The bounds hold together with confidence 1 - DELTA: each
-test has the level DELTA / (strata * rules * grid). A stratum with too few good documents to prove anything
-gets no cutoff, and rejects nothing.
+labelled holdout, the good documents that pass the base rule: of a grid of candidates, tried from the loosest to the
+strictest, the last whose exact (Clopper-Pearson) upper bound on the share of good documents that it rejects is at most
+RISK / number of rules. The bounds hold together with confidence 1 - DELTA: each sequence of tests has the level
+DELTA / (groups * rules). Strata with too few good documents for a proof are pooled into one group, for which the bound
+holds as a whole; a pool too small takes in the next larger strata. Where all together are too few, and in a
+stratum without any good document, there is no cutoff, and nothing is rejected.
 
 Edge cases: a null or blank text has no words, and fails the base rule; a null language is a stratum of its own; an
 empty table gives an empty result; without labels no document is rejected beyond the base rule; of several labels
@@ -13,7 +15,7 @@ of one id the lowest counts; other columns are left alone.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docgauge.llm.common import WORD_SPACE, documents, materialise
@@ -86,18 +88,34 @@ def binomial_cdf(k: Column, n: Column, p: float) -> Column:
 def cutoffs(counted: DataFrame, labels: DataFrame, stratum: str = "stratum", id_col: str = "doc_id", risk: float = RISK, delta: float = DELTA) -> DataFrame:
     """stratum, rule, cutoff: the strictest cutoff proved safe. At most strata * rules rows.
 
-    The upper bound on the false rejection is at most r exactly if P(X <= k | n, r) is at most the test's level.
+    The upper bound on the false rejection is at most r exactly if P(X <= k | n, r) is at most the test's level. What a
+    cutoff rejects, stricter ones reject too, so all cutoffs before the strictest that is proved are proved as well: the
+    sequence needs no division by the grid.
     """
+    each = risk / len(RULES)
     good = labels.groupBy(id_col).agg(F.min("quality").alias("quality")).where("quality = 1").select(F.col(id_col).alias("__id"))
-    held = counted.join(good, counted[id_col] == good["__id"], "left_semi").where("n_words > 0")
+    held = counted.join(good, counted[id_col] == good["__id"], "left_semi").where(~base_failed())
     tried = F.array(*[F.struct(F.lit(name).alias("rule"), F.lit(c).alias("cutoff"), (_value(stat) > c).alias("rejected")) for name, stat, grid in RULES for c in grid])
     rows = held.select(stratum, F.explode(tried).alias("x"))
     tests = rows.groupBy(stratum, "x.rule", "x.cutoff").agg(F.count(F.lit(1)).alias("n"), F.count_if("x.rejected").alias("k"))
-    strata = F.greatest(F.lit(1), F.size(F.collect_set(stratum).over(_all_rows())))
-    level = F.lit(delta) / (strata * F.lit(sum(len(grid) for *_, grid in RULES)))
-    each = risk / len(RULES)
-    sure = tests.withColumn("level", level).where((F.col("k") <= F.col("n") * each) & (binomial_cdf(F.col("k"), F.col("n"), each) <= F.col("level")))
-    return sure.groupBy(stratum, "rule").agg(F.min("cutoff").alias("cutoff"))
+    # One row for each stratum from here on: which are alone and which are pooled follows from the numbers of documents only.
+    per = tests.groupBy(stratum).agg(F.max("n").alias("n"), F.collect_list(F.struct("rule", "cutoff", "k")).alias("tests"))
+    every, upto = _all_rows(), _all_rows().orderBy("n", stratum).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    level = lambda groups: F.lit(delta) / (groups * F.lit(len(RULES)))
+    need = F.log(level(F.count(F.lit(1)).over(every) + 1)) / F.log(F.lit(1 - each))
+    smaller = F.sum("n").over(upto) - F.col("n")
+    alone = F.max((F.col("n") >= F.col("need")) & ((F.col("smaller") == 0) | (F.col("smaller") >= F.col("need")))).over(upto)
+    dealt = per.withColumn("need", need).withColumn("smaller", smaller).withColumn("alone", alone).withColumn("group", F.when(F.col("alone"), F.col(stratum)))
+    groups = F.count_if("alone").over(every) + F.max((~F.col("alone")).cast("long")).over(every)
+    dealt = dealt.withColumn("level", level(groups)).select(stratum, "group", "n", "level", F.explode("tests").alias("x"))
+    whole = Window.partitionBy("group", "x.rule", "x.cutoff")
+    summed = dealt.withColumn("k", F.sum("x.k").over(whole)).withColumn("n", F.sum("n").over(whole))
+    sure = summed.where((F.col("k") <= F.col("n") * each) & (binomial_cdf(F.col("k"), F.col("n"), each) <= F.col("level")))
+    return sure.groupBy(stratum, F.col("x.rule").alias("rule")).agg(F.min("x.cutoff").alias("cutoff"))
+
+
+def base_failed() -> Column:
+    return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
 def _value(stat: str) -> Column:
@@ -105,8 +123,6 @@ def _value(stat: str) -> Column:
 
 
 def _all_rows():
-    from pyspark.sql import Window
-
     return Window.partitionBy(F.lit(0))
 
 
@@ -120,8 +136,7 @@ def verdicts(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     limits = table.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("limits"))
     joined = counted.join(limits.withColumnRenamed("stratum", "__stratum"), F.col("stratum") == F.col("__stratum"), "left")
     broken = F.array_compact(F.array(*[F.when(_value(stat) > F.try_element_at("limits", F.lit(name)), F.lit(name)) for name, stat, _ in RULES]))
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    out = joined.withColumn("base_failed", failed).withColumn("broken", broken)
+    out = joined.withColumn("base_failed", base_failed()).withColumn("broken", broken)
     return out.select(F.col("doc_id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & (F.size("broken") == 0)).alias("kept"), F.array_join("broken", ",").alias("broken"))
 
 

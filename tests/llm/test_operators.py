@@ -212,6 +212,37 @@ def test_binomial_and_cutoffs(spark):
     assert few.count() == 0
 
 
+def counted_good(spark, sizes, symbols=lambda i: 1):
+    made = [(f"{s}{i}", s, 100, 500, symbols(i), 0, 0) for s, n in sizes.items() for i in range(n)]
+    counted = spark.createDataFrame(made, "doc_id string, stratum string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long")
+    return counted, counted.select("doc_id", F.lit(1).alias("quality"))
+
+
+@pytest.mark.parametrize(
+    ("sizes", "proved"),
+    [
+        ({"en": 2871}, {"en"}),  # (1 - 1/600) ** 2871 is below 0.05 / 6 and ** 2870 is not
+        ({"en": 2870}, set()),
+        ({"en": 1973, "de": 475, "fr": 488, "es": 307}, {"en", "de", "fr", "es"}),  # pooled
+        ({"en": 4000, "de": 1800, "fr": 1800}, {"en", "de", "fr"}),  # one alone, two pooled
+        ({"en": 4000, "de": 30}, {"en", "de"}),  # the small one alone would prove nothing
+    ],
+)
+def test_cutoffs_of_small_strata(spark, sizes, proved):
+    counted, labels = counted_good(spark, sizes)
+    found = {(r["stratum"], r["rule"]): r["cutoff"] for r in quality_rules.cutoffs(counted, labels).collect()}
+    assert {s for s, _ in found} == proved
+    assert all(found[s, "symbols"] == 0.02 and found[s, "few words"] == -100.0 for s in proved)
+
+
+def test_cutoffs_leave_out_what_the_base_rule_rejects(spark):
+    counted, labels = counted_good(spark, {"en": 3000})
+    short, more = counted_good(spark, {"short": 500}, lambda i: 90)
+    short = short.withColumn("stratum", F.lit("en")).withColumn("n_words", F.lit(40).cast("long"))
+    found = {r["rule"]: r["cutoff"] for r in quality_rules.cutoffs(counted.unionByName(short), labels.unionByName(more)).collect()}
+    assert found["symbols"] == 0.02
+
+
 def test_quality_verdicts(spark, docs):
     labels = spark.createDataFrame([(30, 1), (30, 0)], "doc_id long, quality int")
     got = rows(quality_rules.verdicts(docs, labels))
