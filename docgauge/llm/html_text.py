@@ -2,10 +2,11 @@
 
 A page is read as blocks of text, each with the path of elements from the root to it (inline elements left out, classes
 and ids kept). Text length, share of link text and punctuation are summed for each distinct path and divided by the
-number of its blocks. In page order these ratios are smoothed over neighbours, fused into one figure for each path, and
-paths above a share of the largest are content. Paths below elements that never hold the article (menus, footers, forms,
+number of its blocks. In page order these ratios are smoothed over neighbours in the same container, fused into one figure
+for each path, and paths above a share of the largest are content, inside an article too. Paths below elements that never hold the article (menus, footers, forms,
 scripts) or whose class or id says so (adverts, comments, notices) are left out beforehand, and where the page marks an
-article only what is inside counts. Headings and short paragraphs beside content, in the same parent, belong to it.
+article only what is inside counts. Short paragraphs, list items and cells beside content, in the same parent, belong to
+it, and so do headings of an article above content.
 
 Edge cases: null, empty or markup-free html gives an empty text or the text itself as one block; unclosed and crossed
 tags are closed where an enclosing element ends or a block of the same kind begins; nothing is cut, at any length;
@@ -40,6 +41,10 @@ NOT_ARTICLE = frozenset(
     "cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup login search form pagination pager skip toolbar copyright legal disclaimer".split()
 )
 
+# Elements that group parts of the container they stand in.
+GROUPS = frozenset("ul ol dl li dd table thead tbody tfoot tr td th blockquote figure header hgroup".split())
+LISTS = frozenset("ul ol dl".split())
+
 #: Weights of a block and its neighbours in smoothing; least share of the largest fused ratio for content; largest share of link text.
 SMOOTH, LEAST, LINKS = (0.2, 0.6, 0.2), 0.15, 0.5
 
@@ -159,8 +164,10 @@ def content(blocks: list[Block]) -> list[Block]:
     lengths, marks = ([ratio[b.path][k] for b in kept] for k in (0, 1))
     smoothed: dict[tuple, list[float]] = {}
     last, (w0, w1, w2) = len(kept) - 1, SMOOTH
+    where = {p: _container(p) for p in sums}
     for i, b in enumerate(kept):
-        a, z = max(0, i - 1), min(last, i + 1)
+        # A neighbour in another container says nothing about this block, which then stands in for it.
+        a, z = (k if 0 <= k <= last and where[kept[k].path] == where[b.path] else i for k in (i - 1, i + 1))
         fused = (w0 * lengths[a] + w1 * lengths[i] + w2 * lengths[z]) * (1 + w0 * marks[a] + w1 * marks[i] + w2 * marks[z]) ** 0.5
         s = smoothed.setdefault(b.path, [0.0, 0.0])
         s[0] += fused
@@ -168,11 +175,24 @@ def content(blocks: list[Block]) -> list[Block]:
     fused = {p: total / n for p, (total, n) in smoothed.items()}
     least = LEAST * max(fused.values())
     chosen = {p for p, f in fused.items() if f >= least and sums[p][2] <= LINKS * sums[p][1]}
-    parents = {p[:-1] for p in chosen}
-    beside = lambda b: b.path[:-1] in parents and b.path[-1:] and b.path[-1].split(".")[0] in FLOW or b.inside
+    parents = {where[p] for p in chosen}
+    above = {p[:k] for p in parents for k in range(len(p) + 1)}
+
+    def beside(b: Block) -> bool:
+        name = b.path[-1].split(".")[0] if b.path else ""
+        return name in FLOW and where[b.path] in parents or name in HEADINGS and b.inside and where[b.path] in above
+
     return [b for b in kept if b.path in chosen or beside(b) and b.links <= LINKS * max(1, sum(map(len, b.parts)))]
 
 
+def _container(path: tuple) -> tuple:
+    """The path of what holds a block, without lists, tables and the like; a list with a class or id is a container."""
+    k = len(path) - 1
+    while k > 0 and (name := path[k - 1].split(".")[0]) in GROUPS and not (name in LISTS and path[k - 1] != name):
+        k -= 1
+    return path[: max(0, k)]
+
+
 def main_text(html: str | None) -> str:
     return "\n\n".join(b.text for b in content(blocks_of(html or "")))
 

@@ -170,6 +170,20 @@ def test_html_main_text(box):
     assert html_text.main_text(PAGE.replace("</{box}>", f"</{box.split()[0]}>").replace("{box}", box)) == MAIN
 
 
+SENTENCE = "A long sentence of the story, which goes on for a while, and then ends. "
+NOISE = '<div class="q7"><p>Cheap shoes today</p><p>Two for one</p></div>'
+STORY = (
+    f'<header class="top"><h1>Title</h1></header>{NOISE}<section><h2>Part</h2><p>{SENTENCE * 3}</p>{NOISE}<p>Short.</p><table class="t"><tr><td>Cell</td><td>7</td></tr></table><p>{SENTENCE * 4}</p>'
+    f'<ul class="z"><li>Look at that</li><li>Read more of it</li></ul><ul><li>An item</li></ul><blockquote class="b"><p>Said so.</p></blockquote><p>{SENTENCE * 3}</p></section>{NOISE}<div class="q8">12 readers liked it</div>'
+)
+
+
+def test_html_unnamed_noise():
+    body = [(SENTENCE * 3).strip(), "Short.", "Cell", "7", (SENTENCE * 4).strip(), "An item", "Said so.", (SENTENCE * 3).strip()]
+    assert html_text.main_text(f"<body><article>{STORY}</article></body>").split("\n\n") == ["Title", "Part", *body]
+    assert html_text.main_text(f'<body><div class="x">{STORY}</div></body>').split("\n\n") == ["Part", *body]  # a header outside an article is left out
+
+
 def test_html_edges(spark):
     assert html_text.main_text(None) == html_text.main_text("") == html_text.main_text("<script>x") == ""
     assert html_text.main_text("just text") == "just text"
