@@ -4,9 +4,10 @@ A page is read as blocks of text, each with the path of elements from the root t
 and ids kept). Text length, share of link text and punctuation are summed for each distinct path and divided by the
 number of its blocks. In page order these ratios are smoothed over neighbours in the same container, fused into one figure
 for each path, and paths above a share of the largest are content, inside an article too. Paths below elements that never hold the article (menus, footers, forms,
-scripts) or whose class or id says so (adverts, comments, notices) are left out beforehand, and where the page marks an
+scripts) or whose class or id says so (adverts, comments, notices) are left out beforehand, unless a form or a named
+element holds the article itself or, without one, most of the page's text; where the page marks an
 article only what is inside counts. Short paragraphs, list items and cells beside content, in the same parent, belong to
-it, and so do headings of an article above content.
+it, and so do headings of an article above content, linked or not.
 
 Edge cases: null, empty or markup-free html gives an empty text or the text itself as one block; unclosed and crossed
 tags are closed where an enclosing element ends or a block of the same kind begins; nothing is cut, at any length;
@@ -30,7 +31,7 @@ from docgauge.llm.byte_bpe import ship
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title svg math iframe object canvas xmp".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var img br wbr".split())
-ASIDE = frozenset("nav footer header aside form menu button select option dialog head fieldset".split())
+ASIDE = frozenset("nav footer header aside menu button select option dialog head fieldset".split())
 CLOSES_ITSELF = frozenset("p li dt dd tr td th option thead tbody tfoot".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 FLOW = HEADINGS | frozenset("p li dt dd blockquote pre td figcaption".split())
@@ -56,10 +57,10 @@ _PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？]")
 
 
 class Block:
-    __slots__ = ("path", "parts", "links", "out", "inside", "text")
+    __slots__ = ("path", "parts", "links", "out", "named", "inside", "text")
 
-    def __init__(self, path: tuple, out: bool, inside: bool):
-        self.path, self.out, self.inside = path, out, inside
+    def __init__(self, path: tuple, out: bool, named: tuple, inside: bool):
+        self.path, self.out, self.named, self.inside = path, out, named, inside
         self.parts: list[str] = []
         self.links = 0
 
@@ -67,7 +68,9 @@ class Block:
 def blocks_of(html: str) -> list[Block]:
     """The blocks of a page that hold text, in page order."""
     found: list[Block] = []
-    stack: list[tuple[str, str, bool, bool]] = []  # name, step of the path, left out, in an article
+    # Name, step of the path, left out, numbers of the forms and elements named as no article around it, in an article.
+    stack: list[tuple[str, str, bool, tuple, bool]] = []
+    n_named = 0
     current: Block | None = None
     at, links, raw_end = 0, 0, {}
 
@@ -76,8 +79,8 @@ def blocks_of(html: str) -> list[Block]:
         if not piece or (current is None and piece.isspace()):
             return
         if current is None:
-            path = tuple(s for n, s, _, _ in stack if n not in INLINE)
-            current = Block(path, bool(stack) and stack[-1][2], bool(stack) and stack[-1][3])
+            path = tuple(s for n, s, *_ in stack if n not in INLINE)
+            current = Block(path, *(stack[-1][2:] if stack else (False, (), False)))
             found.append(current)
         piece = unescape(piece) if "&" in piece else piece
         current.parts.append(piece)
@@ -138,14 +141,47 @@ def blocks_of(html: str) -> list[Block]:
                 pop_to(k)
         names = " ".join(a or b or c for a, b, c in _NAMED.findall(m["rest"])) if m["rest"] else ""
         words = {w.lower() for w in _WORD.findall(names)} if names else ()
-        above = stack[-1] if stack else ("", "", False, False)
-        out = above[2] or (name in ASIDE and not (name == "header" and above[3])) or (name not in ("html", "body", "article", "main") and bool(words) and not NOT_ARTICLE.isdisjoint(words))
-        inside = above[3] or name in ("article", "main") or "main" in words and "role" in m["rest"].lower()
-        stack.append((name, f"{name}.{names}" if names and name not in INLINE else name, out, inside))
+        *_, out, named, inside = stack[-1] if stack else (False, (), False)
+        out = out or (name in ASIDE and not (name == "header" and inside))
+        free = name in ("html", "body", "article", "main") or name in HEADINGS or name == "header" and inside  # headings have ids made of their words
+        if name == "form" or not free and words and not NOT_ARTICLE.isdisjoint(words):
+            named, n_named = (*named, n_named), n_named + 1
+        inside = inside or name in ("article", "main") or "main" in words and "role" in m["rest"].lower()
+        stack.append((name, f"{name}.{names}" if names and name not in INLINE else name, out, named, inside))
         links += name == "a"
     for b in found:
         b.text = _SPACE.sub(" ", "".join(b.parts)).strip()
-    return [b for b in found if b.text]
+    found = [b for b in found if b.text]
+    _leave_out(found)
+    return found
+
+
+def _leave_out(blocks: list[Block]) -> None:
+    """Leaves out what is in a form or a named element, from the outermost in, but for those that hold the article.
+
+    Such an element holds it if all text marked as an article is in it or, on a page without such text, more than half of
+    the text; but not if it has no first heading, and one is outside with a tenth as much text (long comments).
+    """
+    within: dict[int, list[Block]] = {}
+    for b in blocks:
+        if not b.out:
+            for k in b.named:
+                within.setdefault(k, []).append(b)
+    left = [b for b in blocks if not b.out]
+    marked, size = sum(b.inside for b in left), sum(len(b.text) for b in left)
+    first = sum(_first(b) for b in left)
+    for k in sorted(within):  # numbers rise inwards
+        own = [b for b in within[k] if not b.out]
+        n, n_marked, n_first = sum(len(b.text) for b in own), sum(b.inside for b in own), sum(_first(b) for b in own)
+        holds = n_marked == marked if marked else 2 * n > size
+        if not holds or (first and not n_first and 10 * (size - n) >= n):
+            for b in own:
+                b.out = True
+            marked, size, first = marked - n_marked, size - n, first - n_first
+
+
+def _first(b: Block) -> bool:
+    return bool(b.path) and b.path[-1].split(".")[0] == "h1"
 
 
 def content(blocks: list[Block]) -> list[Block]:
@@ -180,9 +216,11 @@ def content(blocks: list[Block]) -> list[Block]:
 
     def beside(b: Block) -> bool:
         name = b.path[-1].split(".")[0] if b.path else ""
-        return name in FLOW and where[b.path] in parents or name in HEADINGS and b.inside and where[b.path] in above
+        if name in HEADINGS and b.inside and where[b.path] in above:
+            return True
+        return name in FLOW and where[b.path] in parents and b.links <= LINKS * max(1, sum(map(len, b.parts)))
 
-    return [b for b in kept if b.path in chosen or beside(b) and b.links <= LINKS * max(1, sum(map(len, b.parts)))]
+    return [b for b in kept if b.path in chosen or beside(b)]
 
 
 def _container(path: tuple) -> tuple:

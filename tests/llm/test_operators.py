@@ -184,6 +184,23 @@ def test_html_unnamed_noise():
     assert html_text.main_text(f'<body><div class="x">{STORY}</div></body>').split("\n\n") == ["Part", *body]  # a header outside an article is left out
 
 
+@pytest.mark.parametrize("box", ['div class="layout has-sidebar"', 'div id="page" class="no-sidebar"', 'div class="single comment-enabled"', "form action=x"])
+@pytest.mark.parametrize("inner", ["article", 'div class="story"'])
+def test_html_names_around_the_article(box, inner):
+    story = f'<h1><a href="x">Linked title</a></h1><p>{SENTENCE * 3}</p><h2 id="search-and-legal">Search</h2><p>{SENTENCE * 2}</p>'
+    comments = f'<div class="comments"><article class="comment"><p>{SENTENCE}</p></article></div>'
+    page = f'<body><header>Site</header><{box}><{inner}>{story}</{inner.split()[0]}>{comments if inner == "article" else ""}<div class="sidebar"><p>{SENTENCE}</p></div></{box.split()[0]}><div class="ad">Buy.</div></body>'
+    text = [(SENTENCE * 3).strip(), "Search", (SENTENCE * 2).strip()]
+    assert html_text.main_text(page).split("\n\n") == (["Linked title", *text] if inner == "article" else text)
+
+
+def test_html_long_comments_stay_out():
+    story, comments = f"<h1>Title</h1><p>{SENTENCE * 3}</p>", f"<p>{SENTENCE * 2}</p>" * 5
+    for box in ("div", "article"):
+        page = f'<body><div class="story">{story}</div><div class="comments"><{box}>{comments}</{box}></div></body>'
+        assert html_text.main_text(page) == f"Title\n\n{SENTENCE * 3}".strip()
+
+
 def test_html_edges(spark):
     assert html_text.main_text(None) == html_text.main_text("") == html_text.main_text("<script>x") == ""
     assert html_text.main_text("just text") == "just text"
