@@ -3,8 +3,8 @@
 Two first-order Markov models over characters, one of random strings and one of ordinary identifiers, are trained
 from labelled samples. The random sample is made by rule (digests in hex, base 64 and base 62); the ordinary one is
 made of the words of ORDINARY_DOCS documents, taken by hash, and of identifiers built from them (joined by _ or -, in
-camel case, with a short number). A candidate is a run of CANDIDATE characters; its score is the log-likelihood ratio of
-the two models for each step, and it is a secret if the score is at least THRESHOLD and it holds a digit.
+camel case, with a short number). A candidate is a run of CANDIDATE characters that holds a digit, glued to = or not; it
+is a secret if the log-likelihood ratio of the two models is at least THRESHOLD for each step and EVIDENCE in all.
 
 Spans are code points, end exclusive. Edge cases: a null text counts as empty and has no spans; a span of the
 models is added only where no base span overlaps it; an empty table gives an empty result; other columns are left
@@ -28,13 +28,13 @@ HEX = r"[0-9a-f]+"
 LEAST = {"assign": 6, "access": 20, "hex": 24}
 KINDS = ("assign", "access", "hex", "markov")
 
-#: Characters of a candidate, and how many there must be.
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])"
+#: Characters of a candidate, and how many there must be; = belongs to it as padding at the end only.
+CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{10,}+(?:={1,2}(?![A-Za-z0-9+/_=-]))?"
 ALPHABET = UPPER + LOWER + "0123456789" + "+/_-="
 #: Documents whose words the ordinary model is trained on, and strings of each kind that the random model is trained on.
 ORDINARY_DOCS, RANDOM_STRINGS = 2000, 4000
-#: Least log-likelihood ratio a step, in natural units.
-THRESHOLD = 0.35
+#: Least log-likelihood ratio, in natural units: a step, and of all steps together (as of 20 characters at THRESHOLD), so that shorter strings need clearer steps.
+THRESHOLD, EVIDENCE = 0.35, 0.35 * 19
 
 
 def _found(text: Column, pattern: str, kind: str, group: int = 0) -> Column:
@@ -115,12 +115,12 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> li
 
 
 def _ratio(value: Column, table: Column) -> Column:
-    """Mean log-likelihood ratio of the steps of a string."""
+    """Log-likelihood ratio of all steps of a string."""
     chars = F.split(value, "")
     n = len(ALPHABET)
     place = F.transform(chars, lambda c: F.instr(F.lit(ALPHABET), c) - 1)
     total = F.aggregate(F.sequence(F.lit(0), F.size(place) - 2), F.lit(0.0), lambda acc, i: acc + F.get(table, F.get(place, i) * n + F.get(place, i + 1)))
-    return total / F.greatest(F.lit(1), F.size(place) - 1)
+    return total
 
 
 def with_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", into: str = "secret_spans", table: list[float] | None = None) -> DataFrame:
@@ -131,7 +131,7 @@ def with_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     base = F.concat(_found(text, ASSIGN, "assign", 2), _found(text, ACCESS, "access"), _hex_found(text))
     staged = docs.withColumn("__base", base).withColumn("__more", _found(text, CANDIDATE, "markov"))
     free = lambda x: ~F.exists("__base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-    more = F.filter("__more", lambda x: free(x) & x["value"].rlike("[0-9]") & (_ratio(x["value"], ratios) >= THRESHOLD))
+    more = F.filter("__more", lambda x: free(x) & (_ratio(x["value"], ratios) >= F.greatest(F.lit(EVIDENCE), THRESHOLD * (F.length(x["value"]) - 1))))
     return staged.withColumn(into, F.array_sort(F.concat("__base", more))).drop("__base", "__more")
 
 

@@ -296,6 +296,23 @@ def test_secrets(spark):
     assert secrets.digest(nothing(spark), table=table).count() == 0
 
 
+def test_secrets_in_assignments(spark):
+    secret = {
+        "aws_secret_access_key=": "wJalrXUtnFEMI/K7MDENG/bPxRfiCYzEXAM9LEKEY", "STRIPE_KEY=": "sk_live_51HqZ8kLmN2pQ9rS7tUv", "https://host.example/get?sig=": "Zx81kQpLm20vRt7Yw3", "export PIN_KEY='": "pK7v2xQ9mZ4tL8wB", "padded ": "Zm9vYmFyMTIzNDU2Nzg5QQ==", "a=b&key=": "Zx9Kq2Lm8Vb4Nw7Rt5Yp1",
+        "swapped ": "Zx9Kq2Lm8Vb4Nw7Rt5Yp1",
+    }
+    after = {"https://host.example/get?sig=": "&lang=en", "export PIN_KEY='": "'", "swapped ": "=value"}
+    plainly = ["max_retry_count2=some_ordinary_identifier_name2", "PATH=/handler/words/ordinary3/text", "covid19 update2024 version10beta", "page=chapter12handler"]
+    made = [(i, f"set {name}{value}{after.get(name, '')} now") for i, (name, value) in enumerate(secret.items())] + [(100 + i, t) for i, t in enumerate(plainly)]
+    df = spark.createDataFrame([(i, t, None, None, 0) for i, t in made], DOCS)
+    ordinary = spark.createDataFrame([(i, "the handler of some ordinary words is named after what it handles in the text, and its update or version counts", None, None, 0) for i in range(50)], DOCS)
+    table = secrets.train(ordinary)
+    got = {r["doc_id"]: r["spans"] for r in secrets.digest(df, table=table).collect()}
+    for i, (name, value) in enumerate(secret.items()):
+        assert got[i] == f"markov:{4 + len(name)}:{4 + len(name) + len(value)}", (name, got[i])
+    assert [got[100 + i] for i in range(len(plainly))] == [""] * len(plainly)
+
+
 def test_quality_model(spark):
     dice = random.Random(6)
     made = [(i, words(dice, 80) + "." if i % 4 else "!!! $$$ ### " * 30, "en", "s", 0) for i in range(400)] + [(900, None, None, None, 0), (901, "", None, None, 0)]
