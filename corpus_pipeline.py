@@ -31,7 +31,7 @@ def scan_secrets(spark, docs, sf_dir):
 def pack(spark, docs, sf_dir):
     import public_tokenizers
 
-    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, with_ids=False)
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
 STAGES = [("quality classifier", quality), ("exact dedup", exact), ("n-gram Jaccard join", near), ("secret scans", scan_secrets), ("packing", pack)]

@@ -39,3 +39,16 @@ def test_stages(spark, tmp_path):
     assert {p["doc_id"]: p["doc_tokens"] for p in pieces} == {i: len(own.encode(t, add_special_tokens=False).ids) + 1 for i, t in clean.items()}
     whole = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert np.sum([p["length"] for p in whole]) == np.sum([p["length"] for p in pieces])
+
+
+def test_packed_pieces_hold_their_ids(spark):
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(vocabulary().path("byte_bpe_50k.json"))
+    dice = random.Random(10)
+    texts = {i: words(dice, n) for i, n in enumerate((3, 50, 4000))}
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts.items()], DOCS)
+    pieces = sorted(corpus_pipeline.STAGES[-1][1](spark, docs, "").collect(), key=lambda p: (p["doc_id"], p["start"]))
+    for i, text in texts.items():
+        ids = np.frombuffer(b"".join(bytes(p["ids"]) for p in pieces if p["doc_id"] == i), "<u4").tolist()
+        assert ids == [*own.encode(text, add_special_tokens=False).ids, 0]
