@@ -7,7 +7,7 @@ merging and then memoised; a sequence whose neighbours are all compatible is the
 rank would reach. A place from which the walk fails is never entered again, so time is linear in the text.
 
 The vocabulary travels as a broadcast of its file's bytes (about 1 MB); each Python worker builds its tables once.
-Memos are bounded and start anew when full.
+Memos are bounded: when one is full it becomes the older generation, from which pieces that occur again are taken back.
 
 Edge cases: a null text counts as empty and gives no ids; ids that are not in the vocabulary fail on decoding;
 columns of the input stay as they are, those to be added must not be there yet.
@@ -18,6 +18,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+import struct
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -27,8 +28,8 @@ from pyspark.sql import types as T
 
 from docgauge.llm.common import documents, ship
 
-#: Entries in a memo before it starts anew; longer pieces are never kept.
-MEMO, MEMO_PIECE = 150_000, 48
+#: Entries in each of a memo's two generations; longer pieces are never kept.
+MEMO, MEMO_PIECE = 120_000, 48
 _INF = 1 << 62
 
 
@@ -106,16 +107,20 @@ class Encoder:
 
 
 class Memo(dict):
-    """Piece to its ids as little-endian unsigned 32-bit integers."""
+    """Piece to its ids as little-endian unsigned 32-bit integers, in two generations: what is looked up stays."""
 
     def __init__(self, encode):
         super().__init__()
-        self.of = encode
+        self.of, self.older = encode, {}
 
     def __missing__(self, piece: str) -> bytes:
-        raw = b"".join(i.to_bytes(4, "little") for i in self.of(piece))
+        raw = self.older.get(piece)
+        if raw is None:
+            ids = self.of(piece)
+            raw = struct.pack(f"<{len(ids)}I", *ids)
         if len(piece) <= MEMO_PIECE:
             if len(self) >= MEMO:
+                self.older = dict(self)
                 self.clear()
             self[piece] = raw
         return raw

@@ -9,13 +9,17 @@ pieces of one length are numbered, and the interval that holds a piece's number
 Numbers come from counts by (length, bucket) and a window inside each bucket, so that a length that a third of all
 pieces share is numbered in many tasks.
 
-Edge cases: a null text counts as empty and gives one piece, the closing id; rows that repeat an id are packed each
+Edge cases: a null text counts as empty and gives one piece, the closing id; the strings of added tokens in a text become
+those tokens, as the tokenizers library has it; rows that repeat an id are packed each
 for itself; an empty table gives an empty result; columns beyond id and text are not read.
 """
 
 from __future__ import annotations
 
 import heapq
+import itertools
+import json
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -24,22 +28,38 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docgauge.llm.byte_bpe import Memo, built, splitter
+from docgauge.llm.byte_bpe import GENERAL, Memo, built, splitter
 from docgauge.llm.common import documents, materialise, ship, shuffle_width
 
 CAPACITY, CLOSING_ID = 1024, 0
-#: Largest number of buckets in which the pieces of one length are numbered is the number of shuffle partitions.
+
+
+def _byte_letters() -> str:
+    """The letter that stands for each byte in a byte-level vocabulary: printable Latin-1 for itself, then letters from 256 on."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    spare = itertools.count(256)
+    return "".join(chr(byte if byte in plain else next(spare)) for byte in range(256))
 
 
 def tokenizer(raw: bytes, pattern: str):
-    """A function from text to packed ids, by the tokenizers library for each match of the pattern that is not in the memo."""
+    """A function from text to packed ids, by the tokenizers library.
+
+    Each match of the pattern that is not in the memo goes to the library's model. Texts that hold an added token's string,
+    and vocabularies with another way of splitting, go to the library whole.
+    """
     from tokenizers import Tokenizer
 
-    own = Tokenizer.from_str(raw.decode("utf-8"))
-    own.encode_special_tokens = True
-    memo = Memo(lambda piece: own.encode(piece, add_special_tokens=False).ids)
+    own, said = Tokenizer.from_str(raw.decode("utf-8")), json.loads(raw)
+    pack_ids = lambda ids: struct.pack(f"<{len(ids)}I", *ids)
+    whole = lambda text: pack_ids(own.encode(text, add_special_tokens=False).ids)
+    way = said.get("pre_tokenizer") or {}
+    if said.get("normalizer") or pattern != GENERAL or (way.get("type"), way.get("add_prefix_space"), way.get("use_regex", True)) != ("ByteLevel", False, True):
+        return whole
+    letters, one = _byte_letters(), own.model.tokenize
+    memo = Memo(lambda piece: [t.id for t in one(piece.encode("utf-8").decode("latin-1").translate(letters))])
+    added = [t["content"] for t in said.get("added_tokens") or []]
     split = splitter(pattern)
-    return lambda text: b"".join(map(memo.__getitem__, split(text)))
+    return lambda text: whole(text) if any(a in text for a in added) else b"".join(map(memo.__getitem__, split(text)))
 
 
 def pieces(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, with_ids: bool = True) -> DataFrame:

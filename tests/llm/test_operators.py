@@ -125,9 +125,10 @@ def test_packing(spark, docs):
     P = vocabulary()
     path = P.path("byte_bpe_50k.json")
     own = Tokenizer.from_file(path)
-    own.encode_special_tokens = True
-    got = packing.pack_documents(docs, path, P.PATTERN).collect()
-    for i, text in plain().items():
+    more = {600: "a <|endoftext|> b", 601: "<|endoftext|>" * 3 + " x\n\n<|endoftext|>", 602: "tail  <|endoftext|", 603: "\x00\x7f\xa0\xad é\u3000中 \U0001f600'll"}
+    both = docs.unionByName(docs.sparkSession.createDataFrame([(i, t, None, None, 0) for i, t in more.items()], DOCS))
+    got = packing.pack_documents(both, path, P.PATTERN).collect()
+    for i, text in (plain() | more).items():
         ids = np.array([*own.encode(text or "", add_special_tokens=False).ids, 0], "<u4")
         mine = sorted((r for r in got if r["doc_id"] == i), key=lambda r: r["start"])
         assert b"".join(bytes(r["ids"]) for r in mine) == ids.tobytes() and all(r["doc_tokens"] == len(ids) for r in mine)
@@ -145,6 +146,15 @@ def test_packing(spark, docs):
     assert packing.pack_documents(nothing(spark), path, P.PATTERN).count() == 0
 
 
+def test_packing_memo_keeps_what_occurs_again(monkeypatch):
+    monkeypatch.setattr(byte_bpe, "MEMO", 3)
+    asked = []
+    memo = byte_bpe.Memo(lambda piece: asked.append(piece) or [len(piece)])
+    for piece in ["a", "bb", "ccc", "dddd", "a", "eeeee", "a", "ff", "a", "x" * 60, "x" * 60]:
+        assert memo[piece] == len(piece).to_bytes(4, "little")
+    assert asked == ["a", "bb", "ccc", "dddd", "eeeee", "ff", "x" * 60, "x" * 60]
+
+
 def test_shortest_pack_first_keeps_the_histogram():
     dice = random.Random(4)
     for _ in range(50):
