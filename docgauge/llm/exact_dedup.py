@@ -1,12 +1,14 @@
 """Exact duplicates by deterministic block naming, in DataFrame functions only.
 
-Every text is cut into blocks of BLOCK_BYTES UTF-8 bytes. A block's name is an integer; equal blocks get equal
-names, and names of neighbours are then named in pairs, again and again, until one name stands for the text. A
-name is a seeded 64-bit integer that is *proved* free of collisions on this input: the distinct blocks (and at the
-upper levels the distinct pairs) are brought together and sorted by name, and if one name stands for two contents,
-the next seed is taken for all. The names therefore depend on the texts alone, not on partitions or retries, and
-no join is needed to hand them back to the documents: each text crosses the network once, for the proof, and copies
-are merged before that.
+Every text is cut into blocks of BLOCK_BYTES UTF-8 bytes. The distinct blocks are sorted, and a block's place in that
+order is its integer name; neighbouring names are then sorted and named in pairs, again and again, until one name
+stands for the text. A text's identity is its number of levels and its last name.
+
+The order is that of SHA-256 digests. Blocks that have one digest are compared by their bytes first, on the whole input: all
+distinct blocks come together by (digest, bytes), and two blocks under one digest would be an error (no such pair of
+strings is known). After this proof only digests travel, 32 bytes for 4096: they are dealt out by range and sorted, and
+a name is the range's offset (its number, shifted by 33 bits) plus the place inside. Names are written, and handed back by joins on
+digests and on pairs of names; texts cross the network once, and copies are merged before that.
 
 Edge cases: a null text counts as empty; an empty text has one empty block; an empty table gives an empty result;
 a null id never wins against another id, and a group of null ids only keeps its rows; rows that repeat an id and
@@ -18,12 +20,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docgauge.llm.common import documents, materialise, sized
+from docgauge.llm.common import documents, materialise, sized, unwrapped, wrapped
 
 #: Bytes in a block.
 BLOCK_BYTES = 4096
-#: Seeds to try; two in a row that fail are as likely as a bit error.
-SEEDS = 8
+#: What stands for the missing right neighbour of a last name; names are never negative.
+NOTHING = -1
 
 
 def _blocks(text: Column, block_bytes: int) -> Column:
@@ -32,92 +34,89 @@ def _blocks(text: Column, block_bytes: int) -> Column:
     return F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(raw, i * block_bytes + 1, F.lit(block_bytes)))
 
 
-def _pairs(names: Column, seed: int, level: Column) -> Column:
-    """Neighbours at one level: the new name and what it stands for. The last may stand alone, which differs from any pair."""
-
-    def one(i: Column) -> Column:
-        left, right = F.get(names, i), F.get(names, i + 1)
-        content = F.concat_ws(",", left.cast("string"), right.cast("string"))
-        return F.struct(level.alias("level"), F.xxhash64(F.lit(seed), level, content).alias("name"), content.cast("binary").alias("content"))
+def _digest(block: Column) -> Column:
+    return F.unhex(F.sha2(block, 256))
 
-    return F.transform(F.sequence(F.lit(0), F.size(names) - 1, F.lit(2)), one)
 
+def _digests(text: Column, block_bytes: int) -> Column:
+    return F.transform(_blocks(F.coalesce(text, F.lit("")), block_bytes), _digest)
 
-def _named(names: Column, seed: int, depth: int) -> Column:
-    """Struct (names: of the last level, seen: every pair met on the way). A fold, so that each level is worked out once."""
-    seen = "array<struct<level:int,name:bigint,content:binary>>"
-    start = F.struct(names.cast("array<bigint>").alias("names"), F.array().cast(seen).alias("seen"))
 
-    def up(acc: Column, level: Column) -> Column:
-        pairs = _pairs(acc["names"], seed, level)
-        new = F.struct(F.transform(pairs, lambda p: p["name"]).cast("array<bigint>").alias("names"), F.concat(acc["seen"], pairs).cast(seen).alias("seen"))
-        return F.when(F.size(acc["names"]) > 1, new).otherwise(acc)
+def _sorted_names(distinct: DataFrame, by: list[str], name: str) -> DataFrame:
+    """Rows without repeats, and their places in the order of `by`: written, since a name must not change once it is given."""
+    ordered = distinct.repartitionByRange(*by).sortWithinPartitions(*by)
+    return materialise(ordered.withColumn("name", F.monotonically_increasing_id()), name)
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(depth)), start, up) if depth else start
 
+def _block_names(texts: DataFrame, block_bytes: int) -> DataFrame:
+    """digest, name of each distinct block of `text`."""
+    blocks = texts.select(F.explode(_blocks(F.coalesce("text", F.lit("")), block_bytes)).alias("content"))
+    distinct = blocks.select(_digest(F.col("content")).alias("digest"), "content").distinct()
+    names = _sorted_names(distinct.groupBy("digest").agg(F.count(F.lit(1)).alias("contents")), ["digest"], "block-names")
+    if names.where("contents > 1").take(1):
+        raise RuntimeError("two different blocks have one SHA-256 digest")
+    return names.select("digest", "name")
 
-def _clash(named: DataFrame) -> bool:
-    """Whether one name stands for two contents."""
-    distinct = named.select("level", "name", "content").distinct()
-    return bool(distinct.groupBy("level", "name").count().where("count > 1").take(1))
 
+def identities(texts: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """digests (of a text's blocks), levels, name: a row for each distinct block and each distinct longer text of the column `text`.
 
-def identities(docs: DataFrame, text_col: str = "text", block_bytes: int = BLOCK_BYTES, into: str = "identity") -> DataFrame:
-    """docs and a column `into`, a struct (levels, name): equal for equal texts and no others."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    blocks = docs.select(_blocks(text, block_bytes).alias("blocks"))
-    most = docs.select(F.max(F.octet_length(text)).alias("n")).first()["n"] or 0
-    depth = max(0, (max(1, -(-most // block_bytes)) - 1).bit_length())
-    hashed = lambda c, seed: F.transform(c, lambda b: F.xxhash64(F.lit(seed), b))
-    for seed in range(SEEDS):
-        flat = blocks.select(F.explode("blocks").alias("content"))
-        flat = flat.select(F.lit(0).alias("level"), F.xxhash64(F.lit(seed), "content").alias("name"), "content")
-        if _clash(flat):
-            continue
-        if not depth:
-            break
-        long = blocks.where(F.size("blocks") > 1).select(hashed(F.col("blocks"), seed).alias("names")).distinct()
-        pairs = long.select(F.explode(_named(F.col("names"), seed, depth)["seen"]).alias("x"))
-        if not _clash(pairs.select("x.*")):
-            break
-    else:
-        raise RuntimeError(f"no seed below {SEEDS} names the blocks without a collision")
-    count = F.greatest(F.lit(1), F.ceil(F.octet_length(text) / F.lit(block_bytes)))
-    levels = F.ceil(F.log2(count.cast("double"))).cast("int")
-    names = _named(hashed(_blocks(text, block_bytes), seed), seed, depth)["names"]
-    return docs.withColumn(into, F.struct(levels.alias("levels"), F.get(names, F.lit(0)).alias("name")))
+    Each round halves the names of a text, so there are as many as the longest text has levels.
+    """
+    names = _block_names(texts, block_bytes)
+    out = names.select(F.array("digest").alias("digests"), F.lit(0).alias("levels"), "name")
+    longer = texts.select(_digests(F.col("text"), block_bytes).alias("digests")).where(F.size("digests") > 1).distinct()
+    longer = materialise(longer.withColumn("sequence", F.monotonically_increasing_id()), "sequences")
+    most = longer.agg(F.max(F.size("digests"))).first()[0]
+    if not most:
+        return out
+    at = longer.select("sequence", F.size("digests").alias("left"), F.posexplode("digests").alias("place", "digest"))
+    at = materialise(at.join(names, "digest").select("sequence", "left", "place", "name"), "names")
+    ends = None
+    for level in range(1, (most - 1).bit_length() + 1):
+        side = lambda k: F.max(F.when(F.col("place") % 2 == k, F.col("name")))
+        pairs = at.groupBy("sequence", "left", F.floor(F.col("place") / 2).cast("int").alias("half")).agg(side(0).alias("first"), F.coalesce(side(1), F.lit(NOTHING)).alias("second"))
+        named = _sorted_names(pairs.select("first", "second").distinct(), ["first", "second"], f"pair-names-{level}")
+        left = F.ceil(F.col("left") / 2).cast("int")
+        at = materialise(pairs.join(named, ["first", "second"]).select("sequence", left.alias("left"), F.col("half").alias("place"), "name"), f"names-{level}")
+        done = at.where("left = 1").select("sequence", F.lit(level).alias("levels"), "name")
+        ends = done if ends is None else ends.unionByName(done)
+        at = at.where("left > 1")
+    return out.unionByName(longer.join(ends, "sequence").select("digests", "levels", "name"))
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """A row for each row of docs: id_col, keep_id (largest id among equal texts), group_size, kept, text_sha256.
+    """A row for each row of docs: id_col, levels, name (of the text's identity), keep_id (largest id among equal texts), group_size, kept, text_sha256.
 
-    Copies are counted before the shuffle; the join that hands the counts back has an exchange on each side, so that
+    Copies are counted before the shuffle; the joins that hand names and counts back have an exchange on each side, so that
     Spark splits a group which holds a large share of all rows.
     """
-    keyed = identities(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "text", block_bytes)
-    keyed = keyed.select("doc_id", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"), F.concat_ws(":", "identity.levels", "identity.name").alias("key"))
-    sizes = keyed.groupBy("key").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    sizes = sizes.select(F.concat(F.lit("="), "key").alias("key"), "keep_id", "group_size")
-    joined = keyed.withColumn("key", F.concat(F.lit("="), "key")).join(sizes, "key")
-    return joined.select(F.col("doc_id").alias(id_col), "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    keyed = own.select("doc_id", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"), _digests(F.col("text"), block_bytes).alias("digests"))
+    named = materialise(keyed.join(identities(own, block_bytes), "digests").drop("digests"), "identities")
+    sizes = named.groupBy("levels", "name").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    joined = named.join(sizes, ["levels", "name"])
+    return joined.select(F.col("doc_id").alias(id_col), "levels", "name", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows of which an equal text with a larger id is there; same columns.
 
-    What is joined to the texts is a table of the copied texts' names alone, written first so that its size is known: it
+    What is joined to the texts is a table of the copied texts' identities alone, written first so that its size is known: it
     is broadcast up to a fixed size, and both sides are shuffled beyond.
     """
-    keyed = identities(docs, text_col, into="__identity").withColumns({"__levels": F.col("__identity.levels"), "__name": F.col("__identity.name")})
-    copied = keyed.groupBy("__levels", "__name").agg(F.max(id_col).alias("__keep"), F.count(F.lit(1)).alias("__n")).where("__n > 1")
-    copied = materialise(copied.select(F.col("__levels").alias("__l"), F.col("__name").alias("__m"), "__keep"), "copied")
-    copied = sized(copied)
-    joined = keyed.join(copied, (F.col("__levels") == F.col("__l")) & (F.col("__name") == F.col("__m")), "left")
-    return joined.where(F.col("__m").isNull() | F.col(id_col).eqNullSafe(F.col("__keep"))).select(*docs.columns)
+    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    found = own.groupBy(_digests(F.col("text"), BLOCK_BYTES).alias("digests")).agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("n"))
+    named = found.join(identities(own), "digests")
+    copied = named.groupBy("levels", "name").agg(F.max("digests").alias("copied"), F.max("keep_id").alias("keep_id"), F.sum("n").alias("n")).where("n > 1")
+    copied = sized(materialise(copied.select("copied", "keep_id"), "copied"))
+    keyed = wrapped(docs, own_id=F.col(id_col), digests=_digests(F.col(text_col), BLOCK_BYTES))
+    joined = keyed.join(copied, F.col("digests") == F.col("copied"), "left")
+    return unwrapped(joined.where(F.col("copied").isNull() | F.col("own_id").eqNullSafe(F.col("keep_id"))))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return groups(documents(spark, sf_dir))
+    return groups(documents(spark, sf_dir)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 ORACLE_SQL = """

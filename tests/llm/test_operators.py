@@ -398,6 +398,36 @@ def test_exact_dedup(spark, docs):
     assert exact_dedup.groups(nothing(spark)).count() == 0
 
 
+def test_exact_dedup_names_are_places_in_an_order(spark):
+    texts = ["b" * 5, "a" * 5, "a" * 5, None, "", "ab" * 9, "ab" * 9 + "c", "ab" * 8, "c" * 4, "abab" + "c" * 4]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    found = exact_dedup.identities(df, 4).collect()
+    assert len({(r["levels"], r["name"]) for r in found}) == len({t or "" for t in texts} | {"abab", "aaaa", "bbbb", "a", "b", "ab", "abc"}) - 0 == len(found)
+    blocks = sorted((bytes(r["digests"][0]), r["name"]) for r in found if r["levels"] == 0)
+    assert [n for _, n in blocks] == sorted(n for _, n in blocks)
+    levels = {len(r["digests"]): r["levels"] for r in found}
+    assert levels == {1: 0, 2: 1, 4: 2, 5: 3}
+
+
+CLASHING = ["row", "own_id", "digests", "copied", "keep_id", "levels", "name", "n", "n_words", "stratum", "__base", "__more", "__spans", "ids", "text_sha256", "label", "kept", "a.b"]
+
+
+def test_clashing_names_are_left_alone(spark):
+    dice = random.Random(11)
+    made = [(i, None if i == 3 else "" if i == 4 else words(dice, 60)) for i in range(12)]
+    made += [(20, made[0][1]), (21, made[0][1] + " end"), (22, 'password = "hunter22" x')]
+    df = spark.createDataFrame(made, "doc_id long, text string")
+    for name in CLASHING:
+        df = df.withColumn(name, F.concat(F.lit("own "), F.col("doc_id").cast("string")))
+    for of, gone in ((exact_dedup.deduplicate, {0, 3}), (jaccard_join.deduplicate, {20, 21}), (secrets.redact, set())):
+        out = of(df)
+        assert out.columns == df.columns
+        got = {r["doc_id"]: r for r in out.collect()}
+        assert set(got) == {i for i, _ in made} - gone, of
+        assert all(r[name] == f"own {i}" for i, r in got.items() for name in CLASHING)
+    assert got[22]["text"] == 'password = "hunter22" x'.replace('password = "hunter22', "[secret]")
+
+
 def test_block_size_does_not_matter(docs):
     want = {(r["doc_id"], r["keep_id"], r["group_size"]) for r in exact_dedup.groups(docs).collect()}
     for size in (1, 7, 100):
