@@ -5,19 +5,20 @@ from __future__ import annotations
 import argparse
 import glob
 import json
+import platform
 import sys
 from pathlib import Path
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from docgauge.operators import corpus, diff, leakage, metrics, resample, selective
+from docgauge.operators import corpus, diff, leakage, metrics, resample
 from docgauge.plans import report
 from docgauge.plans.evaluate import run_config
-from docgauge.sources import backends, config, manifest, runs
+from docgauge.sources import backends, config, images, manifest, runs
 from docgauge.sources.cache import Cache
 
-VERSION, GATE_FAILED, BAD_INPUT = "0.1.0", 2, 3
+VERSION, GATE_FAILED, BAD_INPUT, SHOWN_PROBLEMS = "0.2.0", 2, 3, 100
 
 
 class BadInput(Exception):
@@ -32,47 +33,38 @@ def _schema(folder: str) -> config.Schema:
 
 
 def _corpus(spark, folder: str, schema: config.Schema, strict: bool = True):
+    """Cases with the hashes of their images, the images, and what is wrong with the manifest."""
     lines = manifest.read_lines(spark, f"{folder}/manifest.jsonl")
-    problems = corpus.manifest_problems(lines, schema.names).orderBy("lineno", "problem").collect()
-    if problems and strict:
-        raise BadInput("\n".join(f"line {p['lineno']}: {p['problem']}" for p in problems))
-    return corpus.cases_of(lines), problems
+    cases = corpus.cases_of(lines)
+    found = images.of_corpus(spark, folder, cases)
+    problems = corpus.manifest_problems(lines, schema.names, found)
+    if strict and (first := problems.orderBy("lineno", "problem").limit(SHOWN_PROBLEMS + 1).collect()):
+        more = ["..."] if len(first) > SHOWN_PROBLEMS else []
+        raise BadInput("\n".join([f"line {p['lineno']}: {p['problem']}" for p in first[:SHOWN_PROBLEMS]] + more))
+    return cases.join(images.hashed(found), "image", "left"), found, problems
 
 
-def _save(spark, folder, name, fields, cases, meta, overwrite):
-    base = f"{folder}/{runs.file_name(spark, name)}"
-    if Path(f"{base}/meta.json").exists() and not overwrite:
-        raise BadInput(f"{base} is there already; --overwrite replaces it")
-    fields.write.mode("overwrite").parquet(f"{base}/fields")
-    cases.write.mode("overwrite").parquet(f"{base}/cases")
-    Path(f"{base}/meta.json").write_text(json.dumps(meta, ensure_ascii=False, indent=2))
-
-
-def _load(spark, folder, name):
-    base = f"{folder}/{runs.file_name(spark, name)}"
-    if not Path(f"{base}/meta.json").exists():
-        raise BadInput(f"no run {name} in {folder}")
-    return spark.read.parquet(f"{base}/fields"), spark.read.parquet(f"{base}/cases"), json.loads(Path(f"{base}/meta.json").read_text())
+def _shown(fields, cases, meta, iterations):
+    return report.assembled(fields, cases, meta["field_names"], meta["weights"], meta["critical_fields"], iterations)
 
 
-def _shown(fields, cases, meta, iterations):
-    names, weights, critical = meta["field_names"], meta["weights"], meta["critical_fields"]
-    vectors = metrics.case_vectors(fields, names, critical).persist()
-    cases = cases.select("run", "case_id", "tags", "latency_ms", "tokens_in", "tokens_out", "cost_usd", "cached")
-    per_field = report.sort_fields(metrics.field_metrics(fields, critical=critical), names)
-    intervals = resample.bootstrap_ci(vectors, names, weights, iterations) if iterations >= resample.LEAST_ITERATIONS else None
-    return report.run_figures(metrics.run_metrics(vectors, cases, names, weights), per_field, metrics.by_tag(vectors, cases, names, weights), intervals, selective.selective_report(fields))
+def _one_run(spark, a, schema, cases, found, path, name=None):
+    c, began = config.load_config(path), runs.now()
+    backend, weighing = backends.build_for(c), config.scoring_policy(schema, c)
+    images.settings(c.preprocess)  # an unknown profile is bad input, not a failure of each case
+    hashed = corpus.corpus_hash(cases.select("id", "image_hash", F.to_json("truth").alias("truth")), schema.hash).first()[0]
+    fields, rows = run_config(cases, schema, c, backend, name, None if a.no_cache else Cache(spark, a.cache_dir), a.concurrency, found)
+    told = {
+        "version": VERSION, "python": platform.python_version(), "platform": platform.platform(), "spark": spark.version, "config": {k: getattr(c, k) for k in c.__dataclass_fields__}, "prompt_hash": c.prompt_hash, "schema_hash": schema.hash, "corpus_hash": hashed,
+        "concurrency": a.concurrency, "preprocess": images.describe(c.preprocess), "backend": backend.describe(),
+    }
+    meta = {"name": name or c.name, "corpus_name": Path(a.corpus).resolve().name, "corpus_hash": hashed, "config_name": c.name, "config_hash": c.hash, "field_names": schema.names, "weights": weighing[0], "critical_fields": weighing[1], "provenance": told, "started_at": began}
+    runs.save(spark, a.runs_dir, fields, rows, meta | {"finished_at": runs.now()}, a.overwrite)
+    return runs.load(spark, a.runs_dir, meta["name"])
 
 
-def _one_run(spark, a, schema, cases, path, name=None):
-    c = config.load_config(path)
-    kind = {"hosts": c.hosts} if c.runner == "ollama" and c.hosts else {}
-    weights, critical = config.scoring_policy(schema, c)
-    fields, rows = run_config(cases, schema, c, backends.build(c.runner, c.model, c.params, **kind), name, None if a.no_cache else Cache(spark, a.cache_dir), a.concurrency)
-    hashed = corpus.corpus_hash(cases.select("id", F.lit("").alias("image_hash"), F.to_json("truth").alias("truth")), schema.hash).first()[0]
-    meta = {"name": name or c.name, "corpus_hash": hashed, "config_hash": c.hash, "prompt_hash": c.prompt_hash, "field_names": schema.names, "weights": weights, "critical_fields": critical}
-    _save(spark, a.runs_dir, meta["name"], fields, rows, meta, a.overwrite)
-    return _load(spark, a.runs_dir, meta["name"])
+def _slim(cases):
+    return cases.select(*[c for c in ("run", "case_id", "case_pos", "tags", "latency_ms", "tokens_in", "tokens_out", "cost_usd", "cached") if c in cases.columns])
 
 
 def _diff(spark, a, base, candidate):
@@ -80,8 +72,7 @@ def _diff(spark, a, base, candidate):
     names, weights = m0["field_names"], m0["weights"]
     v0, v1 = (metrics.case_vectors(f, names, m0["critical_fields"]).persist() for f in (f0, f1))
     deltas = report.figures(diff.diff_runs(v0, v1, names, weights, a.bootstrap).orderBy(F.col("statistic") != "macro_accuracy", "statistic"))
-    slim = lambda c: c.select("run", "case_id", "tags", "latency_ms", "tokens_in", "tokens_out", "cost_usd", "cached")
-    full = [report.figures(metrics.run_metrics(v, slim(c), names, weights))[0] for v, c in ((v0, c0), (v1, c1))]
+    full = [report.figures(metrics.run_metrics(v, _slim(c), names, weights))[0] for v, c in ((v0, c0), (v1, c1))]
     return deltas, full
 
 
@@ -96,13 +87,13 @@ def main(argv: list[str] | None = None) -> int:
             "corpus": ("--corpus", {"required": True}), "config": ("--config", {"required": True}), "configs": ("--configs", {"required": True}), "name": ("--name", {}), "limit": ("--limit", {"type": int, "default": 0}), "tags": ("--tags", {}), "exclude": ("--exclude-tags", {}),
             "concurrency": ("--concurrency", {"type": int}), "cache": ("--cache-dir", {"default": ".cache"}), "nocache": ("--no-cache", {"action": "store_true"}), "runs": ("--runs-dir", {"default": "runs"}), "out": ("--out", {}), "bootstrap": ("--bootstrap", {"type": int, "default": resample.ITERATIONS}),
             "overwrite": ("--overwrite", {"action": "store_true"}), "under": ("--fail-under", {"type": float}), "over": ("--fail-hallucination-over", {"type": float}), "run": ("run", {}), "format": ("--format", {"choices": ["text", "md", "html", "json"], "default": "text"}), "baseline": ("baseline", {}),
-            "candidate": ("candidate", {}), "force": ("--force", {"action": "store_true"}), "regression": ("--fail-on-regression", {"action": "store_true"}), "delta": ("--fail-under-delta", {"type": float}), "clear": ("--clear", {"action": "store_true"}), "against": ("--baseline", {}),
+            "candidate": ("candidate", {}), "force": ("--force", {"action": "store_true"}), "regression": ("--fail-on-regression", {"action": "store_true"}), "delta": ("--fail-under-delta", {"type": float}), "clear": ("--clear", {"action": "store_true"}), "against": ("--baseline", {}), "document": ("--document", {}),
         }
         for o in options:
             p.add_argument(known[o][0], **known[o][1])
 
     verb("validate", "corpus")
-    verb("run", "corpus", "config", "name", "limit", "tags", "exclude", "concurrency", "cache", "nocache", "runs", "out", "bootstrap", "overwrite", "under", "over")
+    verb("run", "corpus", "config", "name", "limit", "tags", "exclude", "concurrency", "cache", "nocache", "runs", "out", "bootstrap", "overwrite", "under", "over", "document")
     verb("report", "run", "format", "out", "runs", "bootstrap")
     verb("echo", "run", "config", "runs")
     verb("diff", "baseline", "candidate", "runs", "format", "bootstrap", "force", "regression", "delta")
@@ -113,7 +104,7 @@ def main(argv: list[str] | None = None) -> int:
     spark = SparkSession.builder.getOrCreate()
     try:
         return _VERBS[a.verb](spark, a)
-    except (BadInput, ValueError, KeyError, FileNotFoundError) as e:
+    except (BadInput, ValueError, KeyError, FileNotFoundError, FileExistsError) as e:
         print(e, file=sys.stderr)
         return BAD_INPUT
 
@@ -126,29 +117,34 @@ def _failed(problems: list[str]) -> int:
 
 def _validate(spark, a) -> int:
     schema = _schema(a.corpus)
-    cases, problems = _corpus(spark, a.corpus, schema, strict=False)
-    for p in problems:
+    cases, _, problems = _corpus(spark, a.corpus, schema, strict=False)
+    wrong = False
+    for p in problems.orderBy("lineno", "problem").toLocalIterator():
+        wrong = True
         print(f"line {p['lineno']}: {p['problem']}")
-    if not problems:
+    if not wrong:
         print(f"{cases.count()} cases")
         for r in metrics.tag_counts(cases).orderBy(F.desc("n"), "tag").collect():
             print(f"  {r['tag']} {r['n']}")
-    return BAD_INPUT if problems else 0
+    return BAD_INPUT if wrong else 0
 
 
 def _run(spark, a) -> int:
     schema = _schema(a.corpus)
-    cases, _ = _corpus(spark, a.corpus, schema)
+    cases, found, _ = _corpus(spark, a.corpus, schema)
     cases = corpus.narrow(cases, config.split_list(a.tags), config.split_list(a.exclude_tags), a.limit or None)
-    shown = _shown(*_one_run(spark, a, schema, cases, a.config, a.name), a.bootstrap)
+    fields, rows, meta = _one_run(spark, a, schema, cases, found, a.config, a.name)
+    shown = _shown(fields, rows, meta, a.bootstrap)
     print(report.text_run(shown))
+    if a.document:
+        runs.write_document(spark, a.document, fields, rows, meta, a.overwrite)
     if a.out:
         report.write_reports(shown, a.out)
     return _failed(report.gate(shown["run"], a.fail_under, a.fail_hallucination_over))
 
 
 def _report(spark, a) -> int:
-    shown = _shown(*_load(spark, a.runs_dir, a.run), a.bootstrap)
+    shown = _shown(*runs.load(spark, a.runs_dir, a.run), a.bootstrap)
     if a.out:
         print("\n".join(report.write_reports(shown, a.out)))
     else:
@@ -157,9 +153,9 @@ def _report(spark, a) -> int:
 
 
 def _echo(spark, a) -> int:
-    fields, _, meta = _load(spark, a.runs_dir, a.run)
+    fields, _, meta = runs.load(spark, a.runs_dir, a.run)
     c = config.load_config(a.config)
-    if meta.get("prompt_hash") != c.prompt_hash:
+    if meta["provenance"].get("prompt_hash") != c.prompt_hash:
         raise BadInput("the run was made with another prompt")
     echoes = leakage.echo_report(fields, leakage.prompt_literals(spark, c.prompt))
     print(report.echo_text(leakage.top_echoes(echoes)))
@@ -167,29 +163,35 @@ def _echo(spark, a) -> int:
 
 
 def _diff_verb(spark, a) -> int:
-    base, candidate = (_load(spark, a.runs_dir, n) for n in (a.baseline, a.candidate))
+    base, candidate = (runs.load(spark, a.runs_dir, n) for n in (a.baseline, a.candidate))
     same = base[2]["corpus_hash"] == candidate[2]["corpus_hash"]
     if not same and not a.force:
         raise BadInput("the runs are over different corpora; --force compares the cases they share")
     deltas, full = _diff(spark, a, base, candidate)
-    print(json.dumps(deltas, indent=2) if a.format == "json" else report.markdown_diff(deltas, *full, same, "" if same else "different corpora"))
+    said = (deltas, *full, same, "" if same else "different corpora")
+    print(json.dumps(deltas, indent=2) if a.format == "json" else (report.html_diff if a.format == "html" else report.markdown_diff)(*said))
     return _failed(report.gate_diff(deltas, a.fail_on_regression, a.fail_under_delta))
 
 
 def _sweep(spark, a) -> int:
     a.overwrite = True
     schema = _schema(a.corpus)
-    cases, _ = _corpus(spark, a.corpus, schema)
+    cases, found, _ = _corpus(spark, a.corpus, schema)
     cases = corpus.narrow(cases, limit=a.limit or None)
-    made = [_one_run(spark, a, schema, cases, p) for p in sorted(glob.glob(a.configs))]
+    made = [_one_run(spark, a, schema, cases, found, p) for p in sorted(glob.glob(a.configs))]
     if not made:
         raise BadInput(f"{a.configs}: no configuration")
     every = None
-    for fields, rows, meta in made:
+    for position, (fields, rows, meta) in enumerate(made):
         vectors = metrics.case_vectors(fields, meta["field_names"], meta["critical_fields"])
-        one = metrics.run_metrics(vectors, rows.select("run", "case_id", "tags", "latency_ms", "tokens_in", "tokens_out", "cost_usd", "cached"), meta["field_names"], meta["weights"])
+        one = metrics.run_metrics(vectors, _slim(rows), meta["field_names"], meta["weights"]).withColumn("position", F.lit(position))
         every = one if every is None else every.unionByName(one)
-    print(report.sweep_table(metrics.leaderboard(every)))
+    board = metrics.leaderboard(every, "position")
+    print(report.sweep_table(board))
+    if a.out:
+        for fields, rows, meta in made:
+            report.write_reports(_shown(fields, rows, meta, a.bootstrap), a.out)
+        (Path(a.out) / "leaderboard.html").write_text(report.html_sweep(board), encoding="utf-8")
     base = next((m for m in made if m[2]["name"] == a.baseline), None)
     for other in made if base else []:
         if other is not base:
@@ -199,8 +201,8 @@ def _sweep(spark, a) -> int:
 
 
 def _list(spark, a) -> int:
-    for p in sorted(Path(a.runs_dir).glob("*/meta.json"), key=lambda p: -p.stat().st_mtime):
-        print(json.loads(p.read_text())["name"])
+    for meta in runs.listed(spark, a.runs_dir):
+        print(meta["name"])
     return 0
 
 

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docgauge.functions.text import strip
-from docgauge.functions.values import value_of
 
 
 def parsed_lines(lines: DataFrame) -> DataFrame:
@@ -29,7 +28,7 @@ def cases_of(lines: DataFrame) -> DataFrame:
 
 
 def manifest_problems(lines: DataFrame, known: Sequence[str], images: DataFrame | None = None) -> DataFrame:
-    """lineno, problem: everything that is wrong with a manifest, not just the first thing; an empty corpus is a problem too (line 0)."""
+    """lineno, problem (images: a column `image` of those that are there): everything that is wrong with a manifest, not just the first thing; an empty corpus is a problem too (line 0)."""
     parsed = parsed_lines(lines)
     bad = parsed.where("record is null").select("lineno", F.lit("not a JSON object").alias("problem"))
     kind = F.coalesce(F.schema_of_variant(F.try_variant_get("record", "$.truth", "variant")), F.lit(""))
@@ -50,7 +49,7 @@ def manifest_problems(lines: DataFrame, known: Sequence[str], images: DataFrame
     twice = good.select("lineno", _text("id").alias("id")).where("id <> ''").withColumn("n", F.row_number().over(order)).where("n > 1").select("lineno", F.concat(F.lit("duplicate id "), "id").alias("problem"))
     out = bad.unionByName(each).unionByName(twice)
     if images is not None:
-        there = images.select(F.col("path").alias("image")).distinct()
+        there = images.select("image").distinct()
         lost = good.select("lineno", _text("image").alias("image")).where("image <> ''").join(there, "image", "left_anti")
         out = out.unionByName(lost.select("lineno", F.concat(F.lit("image not found: "), "image").alias("problem")))
     empty = good.agg(F.count(F.lit(1)).alias("n")).where("n = 0").select(F.lit(0).cast("long").alias("lineno"), F.lit("no cases").alias("problem"))
@@ -81,7 +80,3 @@ def corpus_hash(cases: DataFrame, schema_hash: str = "", length: int = 12) -> Da
     folded = cases.select(one.alias("h")).groupBy(F.substring("h", 1, 3).alias("k")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("h"))
     all_ = folded.agg(F.array_sort(F.collect_list(F.struct("k", "h"))).alias("x"))
     return all_.select(F.substring(F.sha2(F.concat(F.lit(schema_hash + "|"), F.array_join(F.transform("x", lambda x: x["h"]), "")), 256), 1, length).alias("corpus_hash"))
-
-
-def field_value(column: str, field: str) -> Column:
-    return value_of(F.col(column), field)

@@ -17,7 +17,8 @@ def latest(cases: DataFrame, order: str, key: str = "case_id") -> DataFrame:
 
 
 def paired(baseline: DataFrame, candidate: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Case vectors side by side: b_* and c_* of each case that both runs have."""
+    """Case vectors side by side: b_* and c_* of each case that both runs have; of a repeated id the last case."""
+    baseline, candidate = (latest(df, "case_pos") if "case_pos" in df.columns else df for df in (baseline, candidate))
     own = ["n", "correct", *[f"{k}_{i}" for i in range(len(names)) for k in ("n", "ok", "hall", "miss")]]
     side = lambda df, p: df.select("case_id", *[F.col(c).alias(p + c) for c in own], ((F.col("n") > 0) & (F.col("correct") == F.col("n"))).cast("int").alias(p + "all_ok"))
     return side(baseline, "b_").join(side(candidate, "c_"), "case_id").withColumn("one", F.lit(1))
@@ -47,7 +48,10 @@ def diff_runs(baseline: DataFrame, candidate: DataFrame, names: Sequence[str], w
     none = F.lit(None).cast("double")
     listed = F.array(*[F.struct(F.lit(k).alias("statistic"), b.alias("baseline"), c.alias("candidate"), (c - b).alias("delta"), extra.get(k, [none, none])[0].alias("hallucination_delta"), extra.get(k, [none, none])[1].alias("missing_delta")) for k, (b, c) in deltas.items()])
     point = pairs.groupBy("run").agg(*[F.sum(c).alias(c) for c in columns]).select(F.col("one").alias("n_paired"), F.inline(listed))
-    replicates = replicate_sums(pairs, columns, iterations, seed, method).select(F.inline(listed))
+    # Only what the deltas need is drawn for: fewer columns, fewer patterns.
+    needed = [c for c in columns if c == "one" or c.split("_")[1] in ("n", "ok", "all")]
+    spread = F.array(*[F.struct(F.lit(k).alias("statistic"), (c - b).alias("delta")) for k, (b, c) in deltas.items()])
+    replicates = replicate_sums(pairs, needed, iterations, seed, method).select(F.inline(spread))
     bounds = replicates.groupBy("statistic").agg(interval(F.collect_list("delta"), alpha).alias("ci"))
     enough = (F.col("n_paired") >= LEAST_CASES) & F.lit(iterations >= LEAST_ITERATIONS)
     joined = point.join(bounds, "statistic", "left").withColumns({"low": F.when(enough, F.col("ci.low")), "high": F.when(enough, F.col("ci.high"))}).drop("ci")

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docgauge.functions.text import casefold, collapse_ws
+from docgauge.functions.text import casefold, collapse_ws, let
 from docgauge.operators.metrics import ratio
 
 # What a prompt's literals look like, and the least hits and lift of a suspicious one.
@@ -32,19 +32,21 @@ def prompt_literals(spark, prompt: str, least: int = LEAST_LENGTH) -> list[str]:
 def echo_report(fields: DataFrame, wanted: Sequence[str]) -> DataFrame:
     """For each literal that some case predicts: cases that predict it, that have it as truth, accuracies with and without, and whether that is suspicious.
 
-    The literals are those of one prompt, so they stand in the plan; each field is looked at once, and what is rare (a
-    hit) is what is shuffled. The accuracy of all other cases follows from the totals, without a join against them.
+    The literals are those of one prompt, so they stand in the plan. Each field is folded and looked at once, and what is
+    rare (a hit) is what is shuffled. The totals travel as one more group; the accuracy of all other cases follows from them,
+    without a join or a second pass.
     """
-    listed = F.array(*[F.lit(x) for x in wanted]) if wanted else F.array().cast("array<string>")
-    hits = lambda c: F.filter(listed, lambda x: F.coalesce(F.contains(casefold(F.col(c)), casefold(x)), F.lit(False)))
-    each = fields.select("case_id", (F.col("outcome") == "correct").cast("int").alias("ok"), hits("predicted").alias("said"), hits("truth").alias("true"))
-    cases = each.groupBy("case_id").agg(F.count(F.lit(1)).alias("n"), F.sum("ok").alias("ok"), F.array_distinct(F.flatten(F.collect_list("said"))).alias("said"), F.array_distinct(F.flatten(F.collect_list("true"))).alias("true"))
-    totals = cases.agg(F.count(F.lit(1)).alias("n_cases"), F.sum("n").alias("all_n"), F.sum("ok").alias("all_ok"))
-    said = cases.select(F.explode("said").alias("literal"), "n", "ok").groupBy("literal").agg(F.count(F.lit(1)).alias("n_predicted"), F.sum("n").alias("n"), F.sum("ok").alias("ok"))
-    true = cases.select(F.explode("true").alias("literal")).groupBy("literal").agg(F.count(F.lit(1)).alias("n_truth"))
-    n_cases, all_n, all_ok = totals.first()  # one row of three sums
-    joined = said.join(true, "literal", "left").withColumn("n_truth", F.coalesce("n_truth", F.lit(0)))
-    joined = joined.withColumns({"n_cases": F.lit(n_cases).cast("long"), "all_n": F.lit(all_n or 0).cast("long"), "all_ok": F.lit(all_ok or 0).cast("long")})
+    listed = F.array(*[F.struct(F.lit(x).alias("own"), casefold(F.lit(x)).alias("folded")) for x in wanted]) if wanted else F.array().cast("array<struct<own:string,folded:string>>")
+    found = lambda c: let(casefold(F.col(c)), lambda v: F.transform(F.filter(listed, lambda x: F.coalesce(F.contains(v, x["folded"]), F.lit(False))), lambda x: x["own"]))
+    key = [c for c in ("case_id", "case_pos") if c in fields.columns]
+    each = fields.select(*key, (F.col("outcome") == "correct").cast("int").alias("ok"), found("predicted").alias("said"), found("truth").alias("true"))
+    cases = each.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.sum("ok").alias("ok"), F.array_distinct(F.flatten(F.collect_list("said"))).alias("said"), F.array_distinct(F.flatten(F.collect_list("true"))).alias("true"))
+    marked = lambda c, side: F.transform(c, lambda x: F.struct(x.alias("literal"), F.lit(side).alias("side")))
+    hits = cases.select("n", "ok", F.inline(F.concat(marked(F.array(F.lit(None).cast("string")), 0), marked(F.col("said"), 1), marked(F.col("true"), 2))))
+    said = F.col("side") < 2
+    summed = hits.groupBy("literal").agg(F.count_if(said).alias("n_predicted"), F.count_if(F.col("side") == 2).alias("n_truth"), F.coalesce(F.sum(F.when(said, F.col("n"))), F.lit(0)).alias("n"), F.coalesce(F.sum(F.when(said, F.col("ok"))), F.lit(0)).alias("ok"))
+    total = lambda c: F.max(F.when(F.col("literal").isNull(), F.col(c))).over(Window.partitionBy())  # noqa: E731  as many rows as literals
+    joined = summed.select("*", total("n_predicted").alias("n_cases"), total("n").alias("all_n"), total("ok").alias("all_ok")).where("literal is not null and n_predicted > 0")
     out = joined.select("literal", "n_predicted", "n_truth", "n_cases", ratio(F.col("ok"), F.col("n")).alias("accuracy_echoed"), ratio(F.col("all_ok") - F.col("ok"), F.col("all_n") - F.col("n")).alias("accuracy_other"))
     lift = F.when(F.col("n_truth") > 0, (F.col("n_predicted") / F.col("n_cases")) / (F.col("n_truth") / F.col("n_cases")))
     out = out.withColumns({"lift": lift, "accuracy_gap": F.col("accuracy_echoed") - F.col("accuracy_other")})

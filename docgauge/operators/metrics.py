@@ -2,7 +2,7 @@
 
 `fields` is the long fact (run, case_id, field, outcome, score); `cases` has a row for each case (run, case_id, tags,
 latency_ms, tokens_in, tokens_out, cost_usd, cached). Everything is summed for each case once (`case_vectors`, one
-shuffle on run and case), and runs, tags, intervals and differences are then sums over these rows. Empty groups give 0.0
+shuffle on run and case; cases that repeat an id are told apart by case_pos, where there is one), and runs, tags, intervals and differences are then sums over these rows. Empty groups give 0.0
 rather than null, as the published definitions have it.
 """
 
@@ -20,6 +20,11 @@ def ratio(part: Column, whole: Column) -> Column:
     return F.coalesce(F.try_divide(part.cast("double"), whole.cast("double")), F.lit(0.0))
 
 
+def case_key(*tables: DataFrame) -> list[str]:
+    """What tells cases apart in all of the tables: run, id and, as ids may repeat, the place in the run."""
+    return [c for c in ("run", "case_id", "case_pos") if all(c in t.columns for t in tables)]
+
+
 def outcome_counts(fields: DataFrame, by: Sequence[str] = ("run", "field")) -> DataFrame:
     return fields.groupBy(*by, "outcome").agg(F.count(F.lit(1)).alias("n"))
 
@@ -51,7 +56,7 @@ def case_vectors(fields: DataFrame, names: Sequence[str], critical: Sequence[str
     for i, name in enumerate(names):
         this = F.col("field") == name
         own += [F.count_if(this).alias(f"n_{i}"), F.count_if(this & is_("correct")).alias(f"ok_{i}"), F.count_if(this & is_("hallucinated")).alias(f"hall_{i}"), F.count_if(this & is_("missing")).alias(f"miss_{i}")]
-    return fields.groupBy("run", "case_id").agg(
+    return fields.groupBy(*case_key(fields)).agg(
         F.count(F.lit(1)).alias("n"), *[F.count_if(is_(o)).alias(o) for o in ("correct", "hallucinated", "missing", "refused")],
         F.count_if(crucial).alias("critical_n"), F.count_if(crucial & is_("hallucinated")).alias("critical_hallucinated"), F.sum("score").alias("score"), *own,
     )
@@ -80,7 +85,8 @@ def run_metrics(vectors: DataFrame, cases: DataFrame, names: Sequence[str], weig
 
     Cases without any field are in the run, and are not all correct, but have no row in the vectors: hence the outer side.
     """
-    joined = cases.join(vectors, ["run", "case_id"], "left")
+    own = vectors if "case_pos" in cases.columns else vectors.drop("case_pos")
+    joined = cases.join(own, case_key(cases, own), "left")
     timed = F.when(F.col("latency_ms") > 0, F.col("latency_ms"))
     quantile = lambda p: F.coalesce(F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY latency_ms) FILTER (WHERE latency_ms > 0)"), F.lit(0.0))
     mean = lambda c: F.coalesce(F.avg(c), F.lit(0.0))
@@ -95,7 +101,9 @@ def run_metrics(vectors: DataFrame, cases: DataFrame, names: Sequence[str], weig
 
 def by_tag(vectors: DataFrame, cases: DataFrame, names: Sequence[str], weights: Mapping[str, float] | None = None) -> DataFrame:
     """For each tag, counted once a case: n, macro accuracy and all-correct share. Sort by accuracy, then tag, for the worst first."""
-    tagged = cases.select("run", "case_id", F.explode(F.array_distinct("tags")).alias("tag")).join(vectors, ["run", "case_id"], "left")
+    own = vectors if "case_pos" in cases.columns else vectors.drop("case_pos")
+    key = case_key(cases, own)
+    tagged = cases.select(*key, F.explode(F.array_distinct("tags")).alias("tag")).join(own, key, "left")
     return tagged.groupBy("run", "tag").agg(F.count(F.lit(1)).alias("n"), macro_of(None, names, weights).alias("accuracy"), ratio(F.count_if(all_correct()), F.count(F.lit(1))).alias("all_fields_correct"))
 
 

@@ -2,8 +2,9 @@
 
 Every statistic is a function of sums, so a replicate needs one weighted sum of each column. Three ways to weight:
 
-* "poisson": each case has a Poisson(1) weight in each replicate, from a hash of seed, replicate and case. No numbering, no
-  join, and partial sums before the only shuffle (iterations rows a task): the way for large runs.
+* "poisson": each case has a Poisson(1) weight in each replicate. Cases with equal columns are one pattern with a count, and the
+  weights of `count` cases sum to one Poisson(count) number, drawn by a hash of seed, replicate and pattern. So the work depends on
+  the patterns, of which there are few, and not on the cases: the way for large runs.
 * "draws": n draws with replacement from a hash, for cases numbered from 0. What an SQL engine can redo exactly.
 * "mersenne": the same with Python's generator on the driver, n * iterations at most MERSENNE_LIMIT; this redoes
   published intervals for small runs. One table of draws serves all statistics, as each starts from the same seed.
@@ -13,7 +14,6 @@ An interval is null below LEAST_CASES cases or LEAST_ITERATIONS replicates.
 
 from __future__ import annotations
 
-import itertools
 import math
 import random
 from collections import Counter
@@ -22,11 +22,14 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docgauge.functions.arrays import count_up_to, scan
 from docgauge.operators.metrics import macro_of, ratio
 
 SEED, ITERATIONS, LEAST_CASES, LEAST_ITERATIONS, MERSENNE_LIMIT = 20260807, 2000, 5, 200, 10_000_000
-#: Chances that a Poisson(1) variable is at most 0, 1, 2, ...
-POISSON = tuple(itertools.accumulate(math.exp(-1) / math.factorial(k) for k in range(8)))
+#: Cases of a pattern that are drawn for at once: bounds the table of chances. Tables reach REACH standard deviations and a few more to each side.
+CHUNK, REACH, MORE = 1 << 16, 10, 20
+#: Parts in which a pattern's replicates are dealt out over tasks.
+PARTS = 16
 
 
 def hashed(*parts: Column) -> Column:
@@ -34,26 +37,47 @@ def hashed(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", *[p.cast("string") for p in parts])), 1, 8), 16, 10).cast("long")
 
 
-def poisson_weight(u: Column) -> Column:
-    """Poisson(1) from a number below 2^32."""
-    out = F.lit(0)
-    for p in POISSON:
-        out = out + (u >= int(p * 2**32)).cast("int")
-    return out
+def log_factorial(k: Column) -> Column:
+    """ln(k!), by Stirling's series eight places further on."""
+    x = k + 9.0
+    series = 1 / (12 * x) - 1 / (360 * x * x * x) + 1 / (1260 * x * x * x * x * x) - 1 / (1680 * x * x * x * x * x * x * x)
+    below = F.lit(1.0)
+    for i in range(1, 9):
+        below = below * (k + float(i))
+    return (x - 0.5) * F.log(x) - x + 0.5 * math.log(2 * math.pi) + series - F.log(below)
+
+
+def poisson_table(n: Column) -> Column:
+    """Struct (first, edges) for a count n up to CHUNK: the numbers below 2^32 at which a Poisson(n) number goes on from first + i to the next."""
+    wide = REACH * F.sqrt(n) + MORE
+    ks = F.sequence(F.greatest(F.lit(0), F.floor(n - wide)).cast("long"), F.ceil(n + wide).cast("long"))
+    chances = F.transform(ks, lambda k: F.exp(k * F.log(n) - n - log_factorial(k)))
+    edges = F.transform(scan(chances, lambda x, y: x + y, 0.0), lambda c: F.floor(c * float(1 << 32)).cast("long"))
+    return F.struct(F.element_at(ks, 1).alias("first"), edges.alias("edges"))
+
+
+def poisson_draws(vectors: DataFrame, columns: Sequence[str], iterations: int, seed: int, by: Sequence[str]) -> DataFrame:
+    """For each pattern of the columns and replicate b: how often its cases are drawn, all together (w)."""
+    patterns = vectors.groupBy(*by, *columns).agg(F.count(F.lit(1)).alias("__cases"))
+    chunks = patterns.withColumn("__chunk", F.explode(F.sequence(F.lit(0), F.floor((F.col("__cases") - 1) / CHUNK).cast("int"))))
+    chunks = chunks.withColumns({"__n": F.least(F.col("__cases") - F.col("__chunk") * CHUNK, F.lit(CHUNK)).cast("double"), "__key": F.concat_ws("|", "__chunk", *columns), "__part": F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)))})
+    width = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tables = chunks.repartition(width, *by, "__key", "__part").withColumn("__table", poisson_table(F.col("__n")))
+    # One digest serves four replicates.
+    quads = -(-iterations // 4)
+    each = tables.withColumn("__q", F.explode(F.sequence(F.col("__part"), F.greatest(F.col("__part"), F.lit(quads - 1)), F.lit(PARTS)))).where(F.col("__q") < quads)
+    each = each.withColumn("__h", F.md5(F.concat_ws("|", F.lit(str(seed)), "__q", "__key")))
+    part = lambda k: F.conv(F.substring("__h", 1 + 8 * k, 8), 16, 10).cast("long")
+    each = each.select(*by, *columns, "__q", "__table", F.posexplode(F.array(*[part(k) for k in range(4)])).alias("__k", "__u"))
+    most = int(2 * (REACH * math.sqrt(CHUNK) + MORE)) + 4
+    w = F.col("__table.first") + count_up_to(F.col("__table.edges"), F.col("__u"), most)
+    return each.select(*by, *columns, (4 * F.col("__q") + F.col("__k")).alias("b"), w.alias("w")).where((F.col("w") > 0) & (F.col("b") < iterations))
 
 
 def replicate_sums(vectors: DataFrame, columns: Sequence[str], iterations: int = ITERATIONS, seed: int = SEED, method: str = "poisson", by: Sequence[str] = ("run",)) -> DataFrame:
     """For each group and replicate b, the weighted sums of the columns."""
     if method == "poisson":
-        # Cases with equal columns are summed as one pattern: what is counted for each case is one weight, not every column.
-        # One digest serves four replicates.
-        keyed = vectors.withColumn("__pattern", F.xxhash64(*columns))
-        quads = keyed.select(*by, "__pattern", "case_id", F.explode(F.sequence(F.lit(0), F.lit((iterations - 1) // 4))).alias("q"))
-        digest = quads.withColumn("h", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("q").cast("string"), F.col("case_id").cast("string"))))
-        part = lambda k: poisson_weight(F.conv(F.substring("h", 1 + 8 * k, 8), 16, 10).cast("long"))
-        each = digest.select(*by, "__pattern", "q", F.posexplode(F.array(*[part(k) for k in range(4)])).alias("k", "w"))
-        counted = each.withColumn("b", 4 * F.col("q") + F.col("k")).where((F.col("w") > 0) & (F.col("b") < iterations)).groupBy(*by, "__pattern", "b").agg(F.sum("w").alias("w"))
-        weighted = counted.join(keyed.select(*by, "__pattern", *columns).distinct(), [*by, "__pattern"])
+        weighted = poisson_draws(vectors, columns, iterations, seed, by)
     else:
         place = F.row_number().over(Window.partitionBy(*by).orderBy("case_id")) - 1
         placed = vectors.withColumn("pos", place)
@@ -97,13 +121,18 @@ def _prepared(vectors: DataFrame) -> DataFrame:
     return vectors.withColumns({"all_ok": all_ok, "one": F.lit(1)})
 
 
+def bootstrap_statistics(vectors: DataFrame, columns: Sequence[str], statistics: Mapping[str, Column], iterations: int = ITERATIONS, seed: int = SEED, method: str = "poisson", alpha: float = 0.05) -> DataFrame:
+    """run, statistic, value (on all cases), low, high of any statistics that are expressions over sums of columns of the case vectors."""
+    listed = F.array(*[F.struct(F.lit(k).alias("statistic"), v.cast("double").alias("value")) for k, v in statistics.items()])
+    sums = vectors.groupBy("run").agg(F.count(F.lit(1)).alias("__cases"), *[F.sum(c).alias(c) for c in columns])
+    point = sums.select("run", "__cases", F.inline(listed))
+    spread = replicate_sums(vectors, columns, iterations, seed, method).select("run", F.inline(listed)).groupBy("run", "statistic").agg(F.collect_list("value").alias("samples"))
+    enough = (F.col("__cases") >= LEAST_CASES) & F.lit(iterations >= LEAST_ITERATIONS)
+    bounds = point.join(spread.select("run", "statistic", interval(F.col("samples"), alpha).alias("ci")), ["run", "statistic"], "left")
+    return bounds.select("run", "statistic", "value", F.when(enough, F.col("ci.low")).alias("low"), F.when(enough, F.col("ci.high")).alias("high"))
+
+
 def bootstrap_ci(vectors: DataFrame, names: Sequence[str], weights: Mapping[str, float] | None = None, iterations: int = ITERATIONS, seed: int = SEED, method: str = "poisson", alpha: float = 0.05) -> DataFrame:
     """run, statistic, value (on all cases), low, high."""
     columns = [c for i in range(len(names)) for c in (f"n_{i}", f"ok_{i}")] + ["all_ok", "one"]
-    ready, stats = _prepared(vectors), statistics_of(names, weights)
-    listed = F.array(*[F.struct(F.lit(k).alias("statistic"), v.alias("value")) for k, v in stats.items()])
-    point = ready.groupBy("run").agg(*[F.sum(c).alias(c) for c in columns]).select("run", "one", F.inline(listed))
-    spread = replicate_sums(ready, columns, iterations, seed, method).select("run", F.inline(listed)).groupBy("run", "statistic").agg(F.collect_list("value").alias("samples"))
-    enough = (F.col("one") >= LEAST_CASES) & F.lit(iterations >= LEAST_ITERATIONS)
-    bounds = point.join(spread.select("run", "statistic", interval(F.col("samples"), alpha).alias("ci")), ["run", "statistic"], "left")
-    return bounds.select("run", "statistic", "value", F.when(enough, F.col("ci.low")).alias("low"), F.when(enough, F.col("ci.high")).alias("high"))
+    return bootstrap_statistics(_prepared(vectors), columns, statistics_of(names, weights), iterations, seed, method, alpha)

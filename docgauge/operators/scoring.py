@@ -159,6 +159,17 @@ def compare_field(truth: Column, predicted: Column, spec: FieldSpec, key_present
     return let(F.struct(truth.alias("t"), predicted.alias("p"), is_empty(truth).alias("te"), is_empty(predicted).alias("pe")), of)
 
 
+def spread(cases: DataFrame, by: Sequence[str] = ("run", "case_id")) -> DataFrame:
+    """cases dealt out over all cores if they come in fewer partitions, as from one small file; else as they are.
+
+    Scoring is what takes time, so a table in one piece would be scored by one core. The rows are dealt by run and case, which later
+    sums for each case need anyway.
+    """
+    cores = cases.sparkSession.sparkContext.defaultParallelism
+    key = [c for c in by if c in cases.columns]
+    return cases.repartition(cores, *key) if key and cases.rdd.getNumPartitions() < cores else cases
+
+
 def score_cases(cases: DataFrame, specs: Sequence[FieldSpec], truth_col: str = "truth", predicted_col: str = "predicted", error_col: str | None = "error") -> DataFrame:
     """The long fact: one row for each case and field, with the case's other columns.
 

@@ -13,12 +13,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docgauge.functions.parse import parse_number
-from docgauge.operators.metrics import ratio
+from docgauge.operators.metrics import case_key, ratio
 from docgauge.operators.resample import hashed
 
 SEED, TARGETS, SHUFFLES, SPLITS, LEAST_COVERAGE, LEAST_CASES = 20260807, (0.5, 0.6, 0.7, 0.8, 0.9, 1.0), 25, 200, 0.05, 8
-#: Buckets for each run.
+#: Buckets for each run, at least; there are as many as shuffle partitions.
 BUCKETS = 64
+#: Buckets of a split's hashes, and of a run's ranks, in a hold-out: a task holds one, or a share of a run of that size.
+HALVING, BLOCKS = 4096, 512
 
 
 def case_confidence(fields: DataFrame, confidence_field: str = "confidence") -> DataFrame:
@@ -31,9 +33,10 @@ def case_confidence(fields: DataFrame, confidence_field: str = "confidence") ->
     scaled = F.when(F.col("said") > 1, F.col("said") / 100).otherwise(F.col("said"))
     share = F.when(F.col("said").isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), scaled)))  # least() passes over nulls
     others = F.avg(F.when(F.col("field") != confidence_field, F.col("score")))
-    summed = fields.groupBy("run", "case_id").agg(
+    key = case_key(fields)
+    summed = fields.groupBy(*key).agg(
         said.alias("said"), F.coalesce(others, F.lit(0.0)).alias("mean_score"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("outcome") == "correct").alias("correct"), F.count_if(F.col("outcome") == "hallucinated").alias("hallucinated"))
-    return summed.select("run", "case_id", F.round(F.coalesce(share, F.col("mean_score")), 12).alias("confidence"), F.col("said").isNotNull().alias("from_field"), "n", "correct", "hallucinated", (F.col("correct") == F.col("n")).cast("int").alias("ok"))
+    return summed.select(*key, F.round(F.coalesce(share, F.col("mean_score")), 12).alias("confidence"), F.col("said").isNotNull().alias("from_field"), "n", "correct", "hallucinated", (F.col("correct") == F.col("n")).cast("int").alias("ok"))
 
 
 def confidence_source(confident: DataFrame) -> DataFrame:
@@ -47,7 +50,9 @@ def tie(case_id: Column, seed: int = SEED) -> Column:
 
 def running(df: DataFrame, by: Sequence[str], confidence: str, tie_col: str, sums: Sequence[str]) -> DataFrame:
     """df with rank (from 1) and cum_<c> for each of the sums, by falling confidence, then tie."""
-    points = F.array(*[F.lit(k / BUCKETS) for k in range(1, BUCKETS)])
+    buckets = max(BUCKETS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    points = F.array(*[F.lit(k / buckets) for k in range(1, buckets)])
+    last = [c for c in ("case_pos",) if c in df.columns]  # of cases that repeat an id
     edges = df.groupBy(*by).agg(F.array_distinct(F.percentile_approx(confidence, points, F.lit(1000))).alias("__edges"))
     cut = df.join(edges, list(by))
     above = F.size(F.filter("__edges", lambda e: e > F.col(confidence)))
@@ -56,7 +61,7 @@ def running(df: DataFrame, by: Sequence[str], confidence: str, tie_col: str, sum
     totals = cut.groupBy(*by, "__bucket").agg(F.count(F.lit(1)).alias("__sum_rows"), *[F.sum(c).alias(f"__sum_{c}") for c in sums])
     before = Window.partitionBy(*by).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)  # a few thousand rows at most
     offsets = totals.select(*by, F.col("__bucket"), *[F.coalesce(F.sum(f"__sum_{c}").over(before), F.lit(0)).alias(f"__before_{c}") for c in ("rows", *sums)])
-    inside = Window.partitionBy(*by, "__bucket").orderBy(F.desc(confidence), tie_col)
+    inside = Window.partitionBy(*by, "__bucket").orderBy(F.desc(confidence), tie_col, *last)
     upto = inside.rowsBetween(Window.unboundedPreceding, 0)
     out = cut.join(offsets, [*by, "__bucket"]).withColumn("rank", F.row_number().over(inside) + F.col("__before_rows"))
     out = out.withColumns({f"cum_{c}": F.sum(c).over(upto) + F.col(f"__before_{c}") for c in sums})
@@ -106,6 +111,23 @@ def coverage_for(curve: DataFrame, accuracy: float) -> DataFrame:
     return curve.groupBy("run").agg(F.coalesce(F.max(F.when(F.col("accuracy") >= accuracy, F.col("coverage"))), F.lit(0.0)).alias("coverage"))
 
 
+def _halving_keys(each: DataFrame) -> DataFrame:
+    """run, split, cut: the key of the last case of a split's first half, by key.
+
+    Cases are counted by the first digits of their keys; the bucket with the middle is known from the counts, and only its
+    cases, one in HALVING, are put in order.
+    """
+    digits = len(f"{HALVING:x}") - 1
+    bucket = F.substring("key", 1, digits)
+    counts = each.groupBy("run", "split", bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("k"), F.max("n_cases").alias("n_cases"))
+    upto = F.sum("k").over(Window.partitionBy("run", "split").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))  # HALVING rows at most
+    half = F.floor(F.col("n_cases") / 2)
+    middle = counts.withColumn("upto", upto).where((F.col("upto") >= half) & (F.col("upto") - F.col("k") < half)).select("run", "split", "bucket", (half - F.col("upto") + F.col("k")).alias("need"))
+    inside = each.select("run", "split", "key", bucket.alias("bucket")).join(F.broadcast(middle), ["run", "split", "bucket"])
+    order = Window.partitionBy("run", "split").orderBy("key")
+    return inside.withColumn("at", F.row_number().over(order)).where("at = need").select("run", "split", F.col("key").alias("cut"))
+
+
 def holdout(confident: DataFrame, target: float = 0.95, splits: int = SPLITS, seed: int = SEED) -> DataFrame:
     """A policy fitted on half of the cases and tried on the other half, many times over.
 
@@ -113,15 +135,26 @@ def holdout(confident: DataFrame, target: float = 0.95, splits: int = SPLITS, se
     none, and the split counts as coverage 0. Accuracy, its bounds and the hit rate are over splits that have a policy.
     """
     sizes = confident.groupBy("run").agg(F.count(F.lit(1)).alias("n_cases"), F.avg("ok").alias("base"))
-    each = confident.join(sizes, "run").where(F.col("n_cases") >= LEAST_CASES).select("run", "case_id", "confidence", "ok", "n_cases", F.explode(F.sequence(F.lit(0), F.lit(splits - 1))).alias("split"))
-    key = F.md5(F.concat_ws("|", F.lit(seed), "split", "case_id"))
-    order = Window.partitionBy("run", "split").orderBy("key")
-    dealt = each.withColumn("key", key).withColumn("fit", F.row_number().over(order) <= F.floor(F.col("n_cases") / 2))
-    side = Window.partitionBy("run", "split", "fit").orderBy(F.desc("confidence"), "tie")
-    ranked = dealt.withColumn("tie", tie(F.col("case_id"), seed)).withColumns({"rank": F.row_number().over(side), "cum": F.sum("ok").over(side.rowsBetween(Window.unboundedPreceding, 0)), "m": F.count(F.lit(1)).over(Window.partitionBy("run", "split", "fit"))})
+    # All splits share one order of the cases: they are ranked once, and a split's ranks are counts of the lower ones in it.
+    ordered = running(confident.withColumn("tie", tie(F.col("case_id"), seed)), ["run"], "confidence", "tie", [])
+    block = F.floor((F.col("rank") - 1) * BLOCKS / F.col("n_cases")).cast("int")
+    cases = ordered.join(sizes, "run").where(F.col("n_cases") >= LEAST_CASES).select("run", "case_id", "ok", "n_cases", F.col("rank").alias("place"), block.alias("block"))
+    # Narrow rows, read three times below; dealt out by number, since each becomes `splits` rows.
+    cases = cases.repartition(int(confident.sparkSession.conf.get("spark.sql.shuffle.partitions")), "case_id").persist()
+    each = cases.withColumn("split", F.explode(F.sequence(F.lit(0), F.lit(splits - 1)))).withColumn("key", F.md5(F.concat_ws("|", F.lit(seed), "split", "case_id")))
+    # Tables of one row for each run and split are broadcast by name: the planner takes the exploded side for the small one.
+    dealt = each.join(F.broadcast(_halving_keys(each)), ["run", "split"]).withColumn("fit", F.col("key") <= F.col("cut")).drop("key", "cut", "case_id")
+    group = ["run", "split", "fit"]
+    totals = dealt.groupBy(*group, "block").agg(F.count(F.lit(1)).alias("k"), F.sum("ok").alias("s"))
+    before = Window.partitionBy(*group).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # BLOCKS rows at most
+    whole = Window.partitionBy(*group)
+    offsets = totals.select(*group, "block", F.coalesce(F.sum("k").over(before), F.lit(0)).alias("k0"), F.coalesce(F.sum("s").over(before), F.lit(0)).alias("s0"), F.sum("k").over(whole).alias("m"))
+    side = Window.partitionBy(*group, "block").orderBy("place")
+    ranked = dealt.withColumns({"r": F.row_number().over(side), "c": F.sum("ok").over(side.rowsBetween(Window.unboundedPreceding, 0))}).join(offsets.hint("merge"), [*group, "block"])
+    ranked = ranked.select("run", "split", "fit", (F.col("r") + F.col("k0")).alias("rank"), (F.col("c") + F.col("s0")).alias("cum"), "m")
     policy = ranked.where("fit").groupBy("run", "split").agg(F.coalesce(F.max(F.when(F.col("cum") / F.col("rank") >= target, F.col("rank") / F.col("m"))), F.lit(0.0)).alias("wide"))
     policy = policy.withColumn("wide", F.when(F.col("wide") < LEAST_COVERAGE, F.lit(0.0)).otherwise(F.col("wide")))
-    tried = ranked.where(~F.col("fit")).join(policy, ["run", "split"])
+    tried = ranked.where(~F.col("fit")).join(F.broadcast(policy), ["run", "split"])
     take = F.greatest(F.lit(1), F.bround(F.col("wide") * F.col("m")).cast("long"))
     tested = tried.where(F.col("rank") == take).select("run", "split", "wide", F.when(F.col("wide") > 0, F.col("cum") / F.col("rank")).alias("accuracy"))
     low = lambda k: F.least(k - 1, F.floor(F.lit(0.025) * k).cast("int"))

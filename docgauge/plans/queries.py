@@ -4,21 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docgauge.functions import parse, text
 from docgauge.functions.values import is_empty, value_of
 from docgauge.operators import corpus, diff, leakage, metrics, resample, selective
-from docgauge.operators.scoring import score_cases
+from docgauge.operators.scoring import score_cases, spread
 from docgauge.plans.fixture import CRITICAL, NAMES, SPECS, WEIGHTS, extraction_run, outcomes_sql, tables, typed_sql
 from docgauge.sources import cache as caching
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
-#: Fewer than the default, so that the checking engine takes seconds.
-ITERATIONS, SEED = 200, 20260807
+ITERATIONS, SEED = resample.ITERATIONS, resample.SEED
 
 
 def query(name: str, sql: str | None = None):
@@ -32,7 +31,7 @@ def query(name: str, sql: str | None = None):
 
 
 def scored(spark: SparkSession, d: str, k: int = 0) -> DataFrame:
-    return score_cases(extraction_run(spark, d, k), SPECS)
+    return score_cases(spread(extraction_run(spark, d, k)), SPECS)
 
 
 def cases(spark: SparkSession, d: str, k: int = 0) -> DataFrame:
@@ -57,7 +56,7 @@ def _with(*k: int) -> str:
 
 
 _TOTAL_WEIGHT = sum(WEIGHTS.values())
-_VECTOR = ", ".join(f"count(*) FILTER (WHERE field = '{n}') AS n_{i}, count(*) FILTER (WHERE field = '{n}' AND outcome = 'correct') AS ok_{i}" for i, n in enumerate(NAMES))
+_VECTOR = ", ".join(f"count(*) FILTER (WHERE field = '{n}') AS n_{i}, count(*) FILTER (WHERE field = '{n}' AND outcome = 'correct') AS ok_{i}, count(*) FILTER (WHERE field = '{n}' AND outcome = 'hallucinated') AS hall_{i}, count(*) FILTER (WHERE field = '{n}' AND outcome = 'missing') AS miss_{i}" for i, n in enumerate(NAMES))
 _MACRO = lambda p="": "(" + " + ".join(f"coalesce(sum({p}ok_{i}) / nullif(sum({p}n_{i}), 0), 0) * {WEIGHTS[n]}" for i, n in enumerate(NAMES) if WEIGHTS[n]) + f") / {_TOTAL_WEIGHT}"
 _CRIT = "field IN (" + ", ".join(f"'{c}'" for c in CRITICAL) + ")"
 
@@ -79,7 +78,7 @@ def _mode(i: int) -> None:
 
     @query(f"compare_{spec.compare}", _with(0) + f" SELECT case_id, outcome, round(score, 9) AS score FROM f0 WHERE field = '{spec.name}'")
     def compare(spark, d):
-        return score_cases(extraction_run(spark, d), [spec]).select("case_id", "outcome", r9("score"))
+        return score_cases(spread(extraction_run(spark, d)), [spec]).select("case_id", "outcome", r9("score"))
 
 
 for _i in range(len(SPECS)):
@@ -153,16 +152,31 @@ def field_names(spark, d):
 
 # Resampling
 
-_U = lambda b, x: f"CAST('0x' || substr(md5('{SEED}|' || ({b} // 4) || '|' || {x}), 1 + 8 * ({b} % 4), 8) AS BIGINT)"
-_WEIGHT = " + ".join(f"CAST(u >= {int(p * 2**32)} AS INT)" for p in resample.POISSON)
+# A pattern's draws, as resample.poisson_draws has them; patterns of more than 65,536 cases would need more than one chunk.
+_U = lambda b, x: f"CAST('0x' || substr(md5('{SEED}|' || ({b} // 4) || '|0|' || {x}), 1 + 8 * ({b} % 4), 8) AS BIGINT)"
+
+
+def _weighted_sql(table: str, columns: list[str]) -> str:
+    wide = f"({resample.REACH} * sqrt(cases) + {resample.MORE})"
+    ks = f"unnest(range(CAST(greatest(0, floor(cases - {wide})) AS BIGINT), CAST(ceil(cases + {wide}) AS BIGINT) + 1)) AS k"
+    chance = "exp(k * ln(cases) - cases - lgamma(k + 1))"
+    return (
+        f"pat AS (SELECT {', '.join(columns)}, count(*) AS cases FROM {table} GROUP BY ALL)"
+        + f", edges AS (SELECT cases, min(k) AS k0, list(t ORDER BY k) AS edge FROM (SELECT cases, k, CAST(floor(4294967296 * sum({chance}) OVER (PARTITION BY cases ORDER BY k)) AS BIGINT) AS t FROM (SELECT cases, {ks} FROM (SELECT DISTINCT cases FROM pat))) GROUP BY cases)"
+        + f", drawn AS (SELECT pat.*, b, {_U('b', (" || '|' || ").join(columns))} AS u FROM pat, range({ITERATIONS}) AS r(b))"
+        + ", weighted AS (SELECT drawn.*, k0 + len(list_filter(edge, lambda x: x <= u)) AS w FROM drawn JOIN edges USING (cases))"
+    )
+
+
 _BOUNDS = lambda c: f"list_sort(list({c}))[{int(0.025 * ITERATIONS) + 1}] AS low, list_sort(list({c}))[{ITERATIONS - int(0.025 * ITERATIONS)}] AS high"
 _STATS = {"macro_accuracy": _MACRO(), "all_fields_correct": "sum(all_ok) / sum(one)"} | {f"accuracy:{n}": f"sum(ok_{i}) / sum(n_{i})" for i, n in enumerate(NAMES)}
-_SUMMED = ", ".join(f"sum({c} * w) AS {c}" for c in [x for i in range(len(NAMES)) for x in (f"n_{i}", f"ok_{i}")] + ["all_ok", "one"])
+_OWN = [x for i in range(len(NAMES)) for x in (f"n_{i}", f"ok_{i}")] + ["all_ok", "one"]
+_SUMMED = ", ".join(f"sum({c} * w) AS {c}" for c in _OWN)
 
 
-def _ci_sql(weighted: str) -> str:
+def _ci_sql() -> str:
     ready = ", ready AS (SELECT *, CAST(correct = n AND n > 0 AS INT) AS all_ok, 1 AS one FROM v0)"
-    sums = f", sums AS (SELECT b, {_SUMMED} FROM ({weighted}) GROUP BY b)"
+    sums = f", {_weighted_sql('ready', _OWN)}, sums AS (SELECT b, {_SUMMED} FROM weighted GROUP BY b)"
     spread = ", spread AS (" + " UNION ALL ".join(f"SELECT b, '{k}' AS statistic, {v} AS s FROM sums GROUP BY b" for k, v in _STATS.items()) + ")"
     point = ", point AS (" + " UNION ALL ".join(f"SELECT '{k}' AS statistic, {v} AS value FROM ready" for k, v in _STATS.items()) + ")"
     return _with(0) + f", {_vectors_sql(0)}" + ready + sums + spread + point + f" SELECT statistic, round(value, 9) AS value, round(low, 9) AS low, round(high, 9) AS high FROM point JOIN (SELECT statistic, {_BOUNDS('s')} FROM spread GROUP BY statistic) USING (statistic)"
@@ -173,18 +187,19 @@ def _ci(spark, d, method):
     return out.select("statistic", r9("value"), r9("low"), r9("high"))
 
 
-@query("bootstrap_ci", _ci_sql(f"SELECT *, {_WEIGHT} AS w FROM (SELECT ready.*, b, {_U('b', 'case_id')} AS u FROM ready, range({ITERATIONS}) AS r(b))"))
+@query("bootstrap_ci", _ci_sql())
 def bootstrap_ci(spark, d):
     return _ci(spark, d, "poisson")
 
 
 _DIFF = {"macro_accuracy": (_MACRO("b_"), _MACRO("c_")), "all_fields_correct": ("sum(b_all_ok) / sum(one)", "sum(c_all_ok) / sum(one)")} | {f"accuracy:{n}": (f"sum(b_ok_{i}) / sum(b_n_{i})", f"sum(c_ok_{i}) / sum(c_n_{i})") for i, n in enumerate(NAMES)}
 _PAIRED = ", ".join(f"{t}.{k}_{i} AS {p}_{k}_{i}" for t, p in (("v0", "b"), ("v1", "c")) for i in range(len(NAMES)) for k in ("n", "ok"))
-_PAIRED_SUMS = ", ".join(f"sum({c} * w) AS {c}" for c in [f"{p}_{k}_{i}" for p in "bc" for i in range(len(NAMES)) for k in ("n", "ok")] + ["b_all_ok", "c_all_ok", "one"])
+_PAIR_OWN = [f"{p}_{k}_{i}" for p in "bc" for i in range(len(NAMES)) for k in ("n", "ok")] + ["b_all_ok", "c_all_ok", "one"]
+_PAIRED_SUMS = ", ".join(f"sum({c} * w) AS {c}" for c in _PAIR_OWN)
 _DIFF_SQL = (
     _with(0, 1) + f", {_vectors_sql(0)}, {_vectors_sql(1)}"
     + f", pairs AS (SELECT v0.case_id, {_PAIRED}, CAST(v0.correct = v0.n AS INT) AS b_all_ok, CAST(v1.correct = v1.n AS INT) AS c_all_ok, 1 AS one FROM v0 JOIN v1 USING (case_id))"
-    + f", sums AS (SELECT b, {_PAIRED_SUMS} FROM (SELECT *, {_WEIGHT} AS w FROM (SELECT pairs.*, b, {_U('b', 'case_id')} AS u FROM pairs, range({ITERATIONS}) AS r(b))) GROUP BY b)"
+    + f", {_weighted_sql('pairs', _PAIR_OWN)}, sums AS (SELECT b, {_PAIRED_SUMS} FROM weighted GROUP BY b)"
     + ", spread AS (" + " UNION ALL ".join(f"SELECT b, '{k}' AS statistic, {c} - {b} AS s FROM sums GROUP BY b" for k, (b, c) in _DIFF.items()) + ")"
     + ", point AS (" + " UNION ALL ".join(f"SELECT '{k}' AS statistic, count(*) AS n_paired, {b} AS baseline, {c} AS candidate FROM pairs" for k, (b, c) in _DIFF.items()) + ")"
     + f", ci AS (SELECT statistic, {_BOUNDS('s')} FROM spread GROUP BY statistic)"
@@ -253,7 +268,7 @@ def accuracy_at(spark, d):
     return selective.accuracy_at(_curve(spark, d), 0.7).select(F.lit(0.7).alias("coverage"), r9("accuracy"))
 
 
-_SPLITS = 20
+_SPLITS = selective.SPLITS
 _HOLDOUT = (
     _with(0) + _CONF + f", dealt AS (SELECT split, case_id, confidence, ok, row_number() OVER (PARTITION BY split ORDER BY md5('{selective.SEED}|' || split || '|' || case_id)) <= (count(*) OVER (PARTITION BY split)) // 2 AS fit FROM conf, range({_SPLITS}) AS r(split))"
     + f", ranked AS (SELECT split, fit, row_number() OVER w AS rank, sum(ok) OVER w AS cum, count(*) OVER (PARTITION BY split, fit) AS m FROM dealt WINDOW w AS (PARTITION BY split, fit ORDER BY confidence DESC, sha1('{selective.SEED}|' || case_id) ROWS UNBOUNDED PRECEDING))"
@@ -272,25 +287,49 @@ def holdout(spark, d):
 # Echo
 
 
-@query(
-    "echo_report",
-    """WITH l AS (SELECT DISTINCT text AS literal FROM benchmark), c AS (SELECT d.doc_id, d.text, b.quality FROM documents d JOIN labels b USING (doc_id)),
- h AS (SELECT literal, doc_id, quality FROM l, c WHERE contains(lower(upper(text)), lower(upper(literal))))
- SELECT md5(literal) AS literal, count(*) AS n_predicted, 0::BIGINT AS n_truth, (SELECT count(*) FROM c) AS n_cases, round(avg(quality), 9) AS accuracy_echoed,
-  round(((SELECT sum(quality) FROM c) - sum(quality)) / ((SELECT count(*) FROM c) - count(*)), 9) AS accuracy_other FROM h GROUP BY literal""",
-)
-def echo_report(spark, d):
+_ECHO = """WITH l AS (SELECT DISTINCT text AS literal FROM benchmark), c AS (SELECT d.doc_id, d.text, coalesce(b.quality, 0) AS ok, CASE WHEN d.doc_id % 3 = 0 THEN d.text END AS truth FROM documents d LEFT JOIN labels b USING (doc_id)),
+ h AS (SELECT literal, ok, coalesce(contains(lower(upper(text)), lower(upper(literal))), FALSE) AS said, coalesce(contains(lower(upper(truth)), lower(upper(literal))), FALSE) AS meant FROM l, c),
+ t AS (SELECT count(*) AS n, sum(ok) AS ok FROM c), s AS (SELECT literal, count(*) FILTER (WHERE said) AS n_predicted, count(*) FILTER (WHERE meant) AS n_truth, coalesce(sum(ok) FILTER (WHERE said), 0) AS ok FROM h GROUP BY literal),
+ r AS (SELECT literal, n_predicted, n_truth, t.n AS n_cases, s.ok / n_predicted AS accuracy_echoed, (t.ok - s.ok) / (t.n - n_predicted) AS accuracy_other, CASE WHEN n_truth > 0 THEN (n_predicted / t.n) / (n_truth / t.n) END AS lift FROM s, t WHERE n_predicted > 0)"""
+_SUSPICIOUS = f"n_predicted >= {leakage.LEAST_HITS} AND (lift IS NULL OR lift >= {leakage.LEAST_LIFT}) AND accuracy_echoed - accuracy_other < 0"
+
+
+def _echoes(spark, d):
     wanted = [r[0] for r in spark.read.parquet(f"{d}/benchmark.parquet").select("text").distinct().collect()]  # the literals of one prompt
     docs, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
-    fields = docs.join(labels, "doc_id").select(F.col("doc_id").alias("case_id"), F.when(F.col("quality") == 1, F.lit("correct")).otherwise(F.lit("wrong")).alias("outcome"), F.col("text").alias("predicted"), F.lit(None).cast("string").alias("truth"))
-    return leakage.echo_report(fields, wanted).select(F.md5("literal").alias("literal"), "n_predicted", F.col("n_truth").cast("long").alias("n_truth"), "n_cases", r9("accuracy_echoed"), r9("accuracy_other"))
+    fields = docs.join(labels, "doc_id", "left").select(F.col("doc_id").alias("case_id"), F.when(F.col("quality") == 1, F.lit("correct")).otherwise(F.lit("wrong")).alias("outcome"), F.col("text").alias("predicted"), F.when(F.col("doc_id") % 3 == 0, F.col("text")).alias("truth"))
+    return leakage.echo_report(spread(fields, ["case_id"]), wanted)
 
 
-@query("prompt_literals", None)
+@query("echo_report", _ECHO + f" SELECT md5(literal) AS literal, n_predicted, n_truth, n_cases, round(accuracy_echoed, 9) AS accuracy_echoed, round(accuracy_other, 9) AS accuracy_other, round(lift, 9) AS lift, {_SUSPICIOUS} AS suspicious FROM r")
+def echo_report(spark, d):
+    return _echoes(spark, d).select(F.md5("literal").alias("literal"), "n_predicted", "n_truth", "n_cases", r9("accuracy_echoed"), r9("accuracy_other"), r9("lift"), "suspicious")
+
+
+@query("suspicious_echoes", _ECHO + f", g AS (SELECT *, round(accuracy_echoed - accuracy_other, 9) AS gap FROM r WHERE {_SUSPICIOUS}) SELECT md5(literal) AS literal, gap, row_number() OVER (ORDER BY gap, literal) AS place FROM g")
+def suspicious_echoes(spark, d):
+    found = leakage.suspicious(_echoes(spark, d).withColumn("accuracy_gap", F.round("accuracy_gap", 9)))
+    return found.select(F.md5("literal").alias("literal"), F.col("accuracy_gap").alias("gap"), F.row_number().over(Window.orderBy("accuracy_gap", "literal")).alias("place"))
+
+
+@query("top_echoes", _ECHO + f" SELECT md5(literal) AS literal, n_predicted FROM r ORDER BY n_predicted DESC, length(literal) DESC, literal LIMIT {leakage.SHOWN}")
+def top_echoes(spark, d):
+    return leakage.top_echoes(_echoes(spark, d)).select(F.md5("literal").alias("literal"), "n_predicted")
+
+
+_PROMPT = "'Answer \"' || regexp_replace(text, '[\"''`\n]', ' ', 'g') || '\" or ''US ABD TOTAL''; never RX TORAX PA.'"
+_COLLAPSED = "trim(regexp_replace(x, '\\s+', ' ', 'g'))"
+
+
+@query(
+    "prompt_literals",
+    f"""WITH p AS (SELECT conv_id, turn, {_PROMPT} AS prompt FROM conversations),
+ f AS (SELECT conv_id, turn, list_concat(regexp_extract_all(prompt, '{leakage.QUOTED.replace("'", "''")}', 1), regexp_extract_all(prompt, '{leakage.CAPITALS}', 1)) AS found FROM p)
+ SELECT conv_id, turn, array_to_string([y.s FOR y IN list_sort(list_distinct([{{'k': -length({_COLLAPSED}), 's': {_COLLAPSED}}} FOR x IN found IF length({_COLLAPSED}) >= {leakage.LEAST_LENGTH}]))], '|') AS literals FROM f""",
+)
 def prompt_literals(spark, d):
-    prompts = spark.read.parquet(f"{d}/conversations.parquet").where("role in ('system', 'user')")
     prompt = F.concat(F.lit("Answer \""), F.regexp_replace("text", "[\"'`\n]", " "), F.lit("\" or 'US ABD TOTAL'; never RX TORAX PA."))
-    return prompts.select("conv_id", "turn", F.array_join(leakage.literals(prompt), "|").alias("literals"))
+    return spark.read.parquet(f"{d}/conversations.parquet").select("conv_id", "turn", F.array_join(leakage.literals(prompt), "|").alias("literals"))
 
 
 # Functions
@@ -399,7 +438,10 @@ def corpus_filter(spark, d):
     return corpus.narrow(extraction_run(spark, d), ["BUILDING", "status F"], ["1-URGENT"], 100, "case_pos").select("case_id")
 
 
-@query("corpus_hash", None)
+_TRUTH = """'{"account":"' || t_account || '","code":"' || t_code || '","name":' || coalesce('"' || t_name || '"', 'null') || ',"notes":["' || replace(t_notes, '; ', '","') || '"],"ordered":"' || t_ordered || '","total":' || CAST(CAST(t_total AS DOUBLE) AS VARCHAR) || ',"urgent":' || CASE WHEN t_urgent THEN 'true' ELSE 'false' END || '}'"""
+
+
+@query("corpus_hash", f"WITH typed0 AS ({typed_sql(0)}), h AS (SELECT sha256(case_id || '||' || {_TRUTH}) AS h FROM typed0), k AS (SELECT substr(h, 1, 3) AS k, sha256(string_agg(h, '' ORDER BY h)) AS h FROM h GROUP BY ALL) SELECT substr(sha256('schema|' || string_agg(h, '' ORDER BY k)), 1, 12) AS corpus_hash FROM k")
 def corpus_hash(spark, d):
     kept = extraction_run(spark, d).select(F.col("case_id").alias("id"), F.lit("").alias("image_hash"), F.col("truth").cast("string").alias("truth"))
     return corpus.corpus_hash(kept, "schema")
@@ -428,6 +470,46 @@ def pairing_latest(spark, d):
     return diff.latest(rows, "o_orderkey").select("case_id", F.col("o_orderkey").alias("last"))
 
 
+# Cases that repeat an id: each third case has the id of the one before it.
+
+_AGAIN = "CASE WHEN case_pos % 3 = 0 THEN lpad(CAST(case_pos - 1 AS VARCHAR), 10, '0') ELSE case_id END"
+
+
+def _repeated_sql(*ks: int) -> str:
+    parts = []
+    for k in ks:
+        parts.append(f"rf{k} AS (SELECT run, {_AGAIN} AS case_id, case_pos, field, field_pos, outcome, score FROM f{k})")
+        parts.append(_vectors_sql(k).replace(f"v{k} AS", f"rv{k} AS", 1).replace("SELECT run, case_id,", "SELECT run, case_id, case_pos,").replace(f"FROM f{k} ", f"FROM rf{k} "))
+    return _with(*ks) + ", " + ", ".join(parts)
+
+
+def _again(df: DataFrame) -> DataFrame:
+    return df.withColumn("case_id", F.when(F.col("case_pos") % 3 == 0, F.lpad((F.col("case_pos") - 1).cast("string"), 10, "0")).otherwise(F.col("case_id")))
+
+
+def _repeated(spark, d, k):
+    return metrics.case_vectors(_again(scored(spark, d, k)), NAMES, CRITICAL)
+
+
+@query("run_metrics_repeated_ids", _repeated_sql(0) + f" SELECT run, count(*) AS n_cases, round({_MACRO()}, 9) AS macro_accuracy, round(avg(CASE WHEN correct = n AND n > 0 THEN 1.0 ELSE 0.0 END), 9) AS all_fields_correct, round(sum(hallucinated) / sum(n), 9) AS hallucination_rate FROM rv0 GROUP BY run")
+def run_metrics_repeated_ids(spark, d):
+    out = metrics.run_metrics(_repeated(spark, d, 0), _again(cases(spark, d)), NAMES, WEIGHTS)
+    return out.select("run", "n_cases", *map(r9, ("macro_accuracy", "all_fields_correct", "hallucination_rate")))
+
+
+_LAST = lambda k: f"l{k} AS (SELECT * FROM rv{k} QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY case_pos DESC) = 1)"
+_FIELD_DELTAS = " UNION ALL ".join(
+    f"SELECT 'accuracy:{n}' AS statistic, count(*) AS n_paired, round(sum(l1.ok_{i}) / sum(l1.n_{i}) - sum(l0.ok_{i}) / sum(l0.n_{i}), 9) AS delta, round(sum(l1.hall_{i}) / sum(l1.n_{i}) - sum(l0.hall_{i}) / sum(l0.n_{i}), 9) AS hallucination_delta, round(sum(l1.miss_{i}) / sum(l1.n_{i}) - sum(l0.miss_{i}) / sum(l0.n_{i}), 9) AS missing_delta FROM l0 JOIN l1 USING (case_id)"
+    for i, n in enumerate(NAMES)
+)
+
+
+@query("paired_deltas_repeated_ids", _repeated_sql(0, 1) + f", {_LAST(0)}, {_LAST(1)} {_FIELD_DELTAS}")
+def paired_deltas_repeated_ids(spark, d):
+    out = diff.diff_runs(_repeated(spark, d, 0), _repeated(spark, d, 1), NAMES, WEIGHTS, 0)
+    return out.where("statistic like 'accuracy:%'").select("statistic", "n_paired", *map(r9, ("delta", "hallucination_delta", "missing_delta")))
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Accuracy and failure rates of each field of a run."""
     return failure_rates(spark, d)

@@ -10,6 +10,11 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docgauge.operators import metrics as metrics_of
+from docgauge.operators import resample, selective
+
+#: Accuracies for which a report says how much can be automated; least gain of a ranking that is worth something.
+QUALITY_TARGETS, LEAST_GAIN = (0.90, 0.95, 0.99), 0.05
 #: Shares from which a figure is marked: hallucination rates, and how far a tag is below the best.
 WARN_HALLUCINATION, WARN_TAG_GAP = 0.01, 0.10
 #: What a verdict calls a change: hallucination rate, and latency ratio either way.
@@ -28,10 +33,45 @@ def figures(df: DataFrame) -> list[dict[str, Any]]:
     return [r.asDict(recursive=True) for r in df.collect()]
 
 
-def run_figures(metrics: DataFrame, fields: DataFrame, tags: DataFrame, intervals: DataFrame | None = None, selective: DataFrame | None = None) -> dict[str, Any]:
+def run_figures(metrics: DataFrame, fields: DataFrame, tags: DataFrame, intervals: DataFrame | None = None, selective: dict[str, Any] | None = None) -> dict[str, Any]:
     """All that a report of one run shows."""
     ordered = tags.orderBy("accuracy", "tag")
-    return {"run": figures(metrics)[0], "fields": figures(fields), "tags": figures(ordered), "intervals": {r["statistic"]: r for r in figures(intervals)} if intervals is not None else {}, "selective": figures(selective) if selective is not None else []}
+    return {"run": figures(metrics)[0], "fields": figures(fields), "tags": figures(ordered), "intervals": {r["statistic"]: r for r in figures(intervals)} if intervals is not None else {}, "selective": selective or {}}
+
+
+def assembled(fields: DataFrame, cases: DataFrame, names: list[str], weights: dict[str, float] | None = None, critical: list[str] | None = None, iterations: int = resample.ITERATIONS, seed: int = resample.SEED, confidence_field: str = "confidence") -> dict[str, Any]:
+    """Every metric of a run in one result: run, fields, tags, intervals and selective prediction. The fact is summed for each case once."""
+    names = names or metrics_of.field_names(fields).first()["field_names"]
+    vectors = metrics_of.case_vectors(fields, names, critical or []).persist()
+    slim = cases.select(*[c for c in ("run", "case_id", "case_pos", "tags", "latency_ms", "tokens_in", "tokens_out", "cost_usd", "cached") if c in cases.columns])
+    per_field = sort_fields(metrics_of.field_metrics(fields, critical=critical or []), names)
+    intervals = resample.bootstrap_ci(vectors, names, weights, iterations, seed) if iterations >= resample.LEAST_ITERATIONS else None
+    return run_figures(metrics_of.run_metrics(vectors, slim, names, weights), per_field, metrics_of.by_tag(vectors, slim, names, weights), intervals, selective_figures(fields, confidence_field))
+
+
+def selective_figures(fields: DataFrame, confidence_field: str = "confidence", holdout_target: float = 0.95) -> dict[str, Any]:
+    """What the selective block shows: areas, operating points, coverage at given accuracies, and the hold-out policy."""
+    confident = selective.case_confidence(fields, confidence_field).persist()
+    summary = figures(selective.selective_report(fields, confidence_field))
+    if not summary:
+        return {}
+    curve = selective.risk_coverage(confident).persist()
+    wide = {t: selective.coverage_for(curve, t).first()["coverage"] for t in QUALITY_TARGETS}
+    return {**summary[0], "points": figures(selective.operating_points(curve).orderBy("target")), "coverage_for": wide, "holdout": figures(selective.holdout(confident, holdout_target))[0]}
+
+
+def selective_block(s: dict[str, Any]) -> list[str]:
+    if not s:
+        return []
+    out = ["## Selective prediction", "", f"Confidence is the {s['source']}. Area {s['aurc']:.4f}, of random orders {s['random_aurc']:.4f}, gain {percent(s['ranking_gain'])}."]
+    if s["ranking_gain"] < LEAST_GAIN:
+        out.append("⚠ This confidence ranks hardly better than chance: sending the least sure documents to review would pick them at random.")
+    rows = [[percent(p["coverage"]), str(p["n_accepted"]), f"{p['accuracy']:.3f}", percent(p["risk"]), percent(p["hallucination_rate"])] for p in s["points"]]
+    out += ["", *_table(["automated", "n", "accuracy", "errors that pass", "hallucinated"], rows)]
+    out += [f"- accuracy of {t:.2f} at least: {percent(c)} of the documents" + ("" if c else " (at no coverage)") for t, c in s["coverage_for"].items()]
+    h = s["holdout"]
+    out += ["", f"Hold-out for {h['target']:.2f}: coverage {percent(h['coverage'])}, accuracy {h['accuracy']:.3f} [{h['low']:.3f}, {h['high']:.3f}], lift {signed(h['lift'])}, met on {percent(h['hit_rate'])} of the splits that have a policy.", ""]
+    return out
 
 
 def _table(head: list[str], rows: list[list[str]]) -> list[str]:
@@ -66,17 +106,20 @@ _FIELD_HEAD = ["field", "n", "accuracy", "missing", "hallucinated", "wrong", "ma
 def markdown_run(shown: dict[str, Any]) -> str:
     summary, fields, tags = _rows(shown)
     out = [f"# {shown['run']['run']}", "", *_table(["figure", "value"], summary), "## Fields", "", *_table(_FIELD_HEAD, fields), "## Tags, worst first", "", *_table(["tag", "n", "accuracy", "all fields correct"], tags)]
-    for s in shown["selective"]:
-        out += ["## Selective prediction", "", f"Confidence: {s['source']}. Area {s['aurc']:.4f}, by chance {s['random_aurc']:.4f}, gain {percent(s['ranking_gain'])}." + (" The ranking hardly helps." if s["ranking_gain"] < 0.05 else ""), ""]
+    out += selective_block(shown["selective"])
     return "\n".join(out)
 
 
+def _html(title: str, parts: list[tuple[str, list[str], list[list[str]]] | str]) -> str:
+    cell = lambda r, t: "<tr>" + "".join(f"<{t}>{html.escape(c)}</{t}>" for c in r) + "</tr>"
+    shown = [f"<p>{html.escape(p)}</p>" if isinstance(p, str) else (f"<h2>{html.escape(p[0])}</h2>" if p[0] else "") + "<table>" + cell(p[1], "th") + "".join(cell(r, "td") for r in p[2]) + "</table>" for p in parts]
+    return f"<!doctype html><html><head><meta charset='utf-8'><title>{html.escape(title)}</title></head><body><h1>{html.escape(title)}</h1>{''.join(shown)}</body></html>"
+
+
 def html_run(shown: dict[str, Any]) -> str:
     summary, fields, tags = _rows(shown)
-    cell = lambda r, t: "<tr>" + "".join(f"<{t}>{html.escape(c)}</{t}>" for c in r) + "</tr>"
-    table = lambda head, rows: "<table>" + cell(head, "th") + "".join(cell(r, "td") for r in rows) + "</table>"
-    name = html.escape(shown["run"]["run"])
-    return f"<!doctype html><html><head><meta charset='utf-8'><title>{name}</title></head><body><h1>{name}</h1>{table(['figure', 'value'], summary)}<h2>Fields</h2>{table(_FIELD_HEAD, fields)}<h2>Tags</h2>{table(['tag', 'n', 'accuracy', 'all fields correct'], tags)}</body></html>"
+    prose = [line for line in selective_block(shown["selective"]) if line and line[0] not in "|#"]
+    return _html(shown["run"]["run"], [("", ["figure", "value"], summary), ("Fields", _FIELD_HEAD, fields), ("Tags", ["tag", "n", "accuracy", "all fields correct"], tags), *prose])
 
 
 def text_run(shown: dict[str, Any]) -> str:
@@ -101,16 +144,34 @@ def verdict(deltas: list[dict[str, Any]], base: dict[str, Any], candidate: dict[
     return "; ".join(said) + "."
 
 
-def markdown_diff(deltas: list[dict[str, Any]], base: dict[str, Any], candidate: dict[str, Any], comparable: bool = True, reason: str = "") -> str:
+def _diff_rows(deltas: list[dict[str, Any]], base: dict[str, Any], candidate: dict[str, Any]) -> tuple[list[str], list[list[str]]]:
     rows = [[d["statistic"].removeprefix("accuracy:"), f"{d['baseline']:.3f}", f"{d['candidate']:.3f}", signed(d["delta"]), "–" if d["low"] is None else f"[{d['low']:+.3f}, {d['high']:+.3f}]", "yes" if d["significant"] else "no", signed(d["hallucination_delta"], True), signed(d["missing_delta"], True)] for d in deltas]
-    head = ["figure", base["run"], candidate["run"], "delta", "interval", "significant", "hallucinated", "missing"]
+    return ["figure", base["run"], candidate["run"], "delta", "interval", "significant", "hallucinated", "missing"], rows
+
+
+def markdown_diff(deltas: list[dict[str, Any]], base: dict[str, Any], candidate: dict[str, Any], comparable: bool = True, reason: str = "") -> str:
     note = [] if comparable else [f"**Not comparable: {reason}**", ""]
-    return "\n".join([f"# {candidate['run']} against {base['run']}", "", *note, verdict(deltas, base, candidate), "", f"Paired cases: {deltas[0]['n_paired']}", "", *_table(head, rows)])
+    return "\n".join([f"# {candidate['run']} against {base['run']}", "", *note, verdict(deltas, base, candidate), "", f"Paired cases: {deltas[0]['n_paired']}", "", *_table(*_diff_rows(deltas, base, candidate))])
+
+
+def html_diff(deltas: list[dict[str, Any]], base: dict[str, Any], candidate: dict[str, Any], comparable: bool = True, reason: str = "") -> str:
+    note = [] if comparable else [f"Not comparable: {reason}"]
+    return _html(f"{candidate['run']} against {base['run']}", [*note, verdict(deltas, base, candidate), f"Paired cases: {deltas[0]['n_paired']}", ("", *_diff_rows(deltas, base, candidate))])
+
+
+_BOARD_HEAD = ["#", "run", "macro", "all correct", "hallucination", "critical", "p50 ms"]
+
+
+def _board_rows(board: DataFrame) -> list[list[str]]:
+    return [[str(r["place"]), r["run"], f"{r['macro_accuracy']:.3f}", f"{r['all_fields_correct']:.3f}", percent(r["hallucination_rate"]), percent(r["critical_hallucination_rate"]), f"{r['latency_p50']:.0f}"] for r in figures(board.orderBy("place"))]
 
 
 def sweep_table(board: DataFrame) -> str:
-    rows = [[str(r["place"]), r["run"], f"{r['macro_accuracy']:.3f}", f"{r['all_fields_correct']:.3f}", percent(r["hallucination_rate"]), percent(r["critical_hallucination_rate"]), f"{r['latency_p50']:.0f}"] for r in figures(board.orderBy("place"))]
-    return "\n".join(_table(["#", "run", "macro", "all correct", "hallucination", "critical", "p50 ms"], rows))
+    return "\n".join(_table(_BOARD_HEAD, _board_rows(board)))
+
+
+def html_sweep(board: DataFrame) -> str:
+    return _html("Leaderboard", [("", _BOARD_HEAD, _board_rows(board))])
 
 
 def echo_text(echoes: DataFrame) -> str:

@@ -17,7 +17,7 @@ try:
 except ImportError:  # JSON configurations work without it
     yaml = None
 
-#: ${NAME} or ${NAME:-default}; a variable that is set but empty counts as unset.
+# Fixed value: ${NAME} or ${NAME:-default}; a variable that is set but empty counts as unset.
 REFERENCE = re.compile(r"\$\{([A-Za-z_][A-Za-z0-9_]*)(?::-([^}]*))?\}")
 DEFAULT_PROMPT = "Read the document and answer with JSON only.\n\nFields:\n{fields}\n\nSchema:\n{schema}\n"
 
@@ -28,29 +28,23 @@ def digest(value: Any, length: int = 12) -> str:
 
 
 def expand(value: Any, environment: dict[str, str] | None = None) -> Any:
-    """References to the environment filled in, at any depth; one without value and default is an error."""
+    """References to the environment filled in, at any depth; one without value and default is an empty text."""
     known = os.environ if environment is None else environment
-    if isinstance(value, dict):
-        return {k: expand(v, environment) for k, v in value.items()}
-    if isinstance(value, list):
-        return [expand(v, environment) for v in value]
-    if not isinstance(value, str):
-        return value
-
-    def fill(m: re.Match) -> str:
-        found = known.get(m[1]) or m[2]
-        if found is None:
-            raise ValueError(f"environment variable {m[1]} is not set")
-        return found
-
-    return REFERENCE.sub(fill, value)
+    match value:
+        case str():
+            return REFERENCE.sub(lambda m: known.get(m[1]) or m[2] or "", value)
+        case dict():
+            return {k: expand(v, environment) for k, v in value.items()}
+        case list():
+            return [expand(v, environment) for v in value]
+    return value
 
 
 @dataclass
 class Config:
     name: str
-    runner: str = "mock"
-    model: str = "mock"
+    runner: str = "ollama"
+    model: str = ""
     params: dict[str, Any] = field(default_factory=dict)
     prompt: str = ""
     host: str | list[str] = ""
@@ -58,41 +52,48 @@ class Config:
     weights: dict[str, float] = field(default_factory=dict)
     critical_fields: list[str] = field(default_factory=list)
 
+    # What changes a model's answers, and so is hashed; names, hosts, weights and critical fields don't.
+    ANSWERING = ("runner", "model", "params", "prompt", "preprocess")
+
     @property
     def prompt_hash(self) -> str:
         return digest(self.prompt)
 
     @property
     def hash(self) -> str:
-        """Of what changes answers: not of name, host, weights and critical fields."""
-        return digest({"runner": self.runner, "model": self.model, "params": self.params, "prompt": self.prompt, "preprocess": self.preprocess})
+        return digest({k: getattr(self, k) for k in self.ANSWERING})
 
     @property
     def hosts(self) -> list[str]:
-        listed = self.host if isinstance(self.host, list) else self.host.split(",")
-        return [h.strip() for h in listed if h.strip()]
+        named = self.host.split(",") if isinstance(self.host, str) else self.host
+        return list(filter(None, map(str.strip, named)))
 
 
-def load_config(path: str) -> Config:
-    """A YAML or JSON file; prompt names a file beside it, prompt_text is the prompt itself."""
-    place = Path(path)
+def _parsed(place: Path) -> Any:
     text = place.read_text(encoding="utf-8")
     if place.suffix == ".json":
-        raw = json.loads(text)
-    elif yaml is None:
+        return json.loads(text)
+    if yaml is None:
         raise RuntimeError("reading YAML needs the yaml package; JSON works without it")
-    else:
-        raw = yaml.safe_load(text)
+    return yaml.safe_load(text)
+
+
+def load_config(path: str) -> Config:
+    """A YAML or JSON file. `prompt` or `prompt_file` names a file, beside the configuration or in the working folder; `prompt_text` is the prompt itself. Other keys are passed over."""
+    place = Path(path)
+    raw = _parsed(place) or {}
     if not isinstance(raw, dict):
         raise ValueError(f"{path}: a configuration is a mapping")
     raw = expand(raw)
-    prompt = raw.pop("prompt_text", "")
-    if named := raw.pop("prompt", ""):
-        prompt = (place.parent / named).read_text(encoding="utf-8")
-    known = Config.__dataclass_fields__
-    if unknown := sorted(set(raw) - set(known)):
-        raise ValueError(f"{path}: unknown keys {', '.join(unknown)}")
-    return Config(**{"name": place.stem} | raw | {"prompt": prompt})
+    given = {k: raw[k] for k in Config.__dataclass_fields__ if raw.get(k)}
+    given["prompt"] = str(raw.get("prompt_text") or "")
+    if named := raw.get("prompt") or raw.get("prompt_file"):
+        found = next((p for p in (place.parent / named, Path(named)) if p.exists()), None)
+        if found is None:
+            raise FileNotFoundError(f"{path}: there is no prompt file {named}")
+        given["prompt"] = found.read_text(encoding="utf-8")
+    given["weights"] = {str(k): float(v) for k, v in given.get("weights", {}).items()}
+    return Config(**{"name": place.stem} | given)
 
 
 def split_list(value: str | None) -> list[str] | None:
@@ -131,7 +132,7 @@ class Schema:
 def load_schema(path: str) -> Schema:
     """A schema file (JSON or YAML) with a list `fields`; each has name, and may have type, description and the FieldSpec settings."""
     place = Path(path)
-    raw = json.loads(place.read_text(encoding="utf-8")) if place.suffix == ".json" else yaml.safe_load(place.read_text(encoding="utf-8"))
+    raw = _parsed(place)
     listed = raw.get("fields") if isinstance(raw, dict) else None
     if not listed:
         raise ValueError(f"{path}: a schema has a list of fields")
