@@ -95,7 +95,9 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bloc
     keyed = own.select("doc_id", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"), _digests(F.col("text"), block_bytes).alias("digests"))
     named = materialise(keyed.join(identities(own, block_bytes), "digests").drop("digests"), "identities")
     sizes = named.groupBy("levels", "name").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    joined = named.join(sizes, ["levels", "name"])
+    # The join has a key of its own: on the key that the counts are already dealt by, Spark would not split a large group.
+    whole = F.concat_ws(":", "levels", "name").alias("identity")
+    joined = named.select("*", whole).join(sizes.select(whole, "keep_id", "group_size"), "identity")
     return joined.select(F.col("doc_id").alias(id_col), "levels", "name", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
