@@ -16,7 +16,7 @@ E. Documents remove all covered bytes.
 
 Hashes have 64 bits or more where they settle anything; grams' 40 bits only bring candidates together.
 
-Edge cases: a null text counts as empty; texts below LENGTH bytes keep all; rows that repeat an id never remove each
+Edge cases: ids are integers, others are an error; a null text counts as empty; texts below LENGTH bytes keep all; rows that repeat an id never remove each
 other's bytes; a null id removes nothing and loses nothing; an empty table gives an empty result; columns other than id
 and text are not read.
 """
@@ -32,6 +32,7 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docgauge.llm.common import documents, materialise, ship, shuffle_width
 from docgauge.llm.jaccard_join import _groups, _sorted
@@ -41,6 +42,8 @@ from docgauge.llm.suffix_array import PAD, common_prefixes, little_words_at, suf
 LENGTH, GRAM = 50, 20
 SIDE = (LENGTH - GRAM) // 2
 CHUNK_BYTES, CHUNK_DOCS, SHARD_BYTES, HOT = 16_000_000, 60_000, 4_000_000, 20_000
+#: A chunk's documents are numbered in 16 bits: it is closed before a run of texts could take it beyond.
+RUN_DOCS, PLACES = 5_000, 1 << 16
 #: Longest stretch of a text in which anchors are looked for at once; stretches overlap by a window.
 STRETCH = 1 << 20
 _ODD = np.uint64(0x9FB21C651E98DF25)
@@ -102,11 +105,11 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, ...]:
 
 
 def _together(texts: list[bytes], limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
-    """Runs of texts of about `limit` bytes."""
+    """Runs of texts of about `limit` bytes, and of no more than RUN_DOCS."""
     a, size = 0, 0
     for k, t in enumerate(texts):
         size += len(t)
-        if size >= limit:
+        if size >= limit or k + 1 - a >= RUN_DOCS:
             yield a, k + 1
             a, size = k + 1, 0
     if a < len(texts):
@@ -193,6 +196,9 @@ def _postings(docs: DataFrame, buckets: int, parts: int, settled: bool) -> DataF
                 yield from _text_rows(batch.column(0), texts, parts)
             ids = batch.column(0).to_numpy()
             for k, z in _together(texts):
+                if docs_held + z - k > PLACES:
+                    yield from flush(held)
+                    held, docs_held, size = [], 0, 0
                 text, _, _, gram, segment, context = anchors(texts[k:z])
                 held.append((*_key(gram, segment), context, ids[k:z][text]))
                 docs_held, size = docs_held + z - k, size + sum(map(len, texts[k:z]))
@@ -476,6 +482,8 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ship(docs.sparkSession)
     width = shuffle_width(docs)
     buckets, parts, shards = width, 2 * width, width  # packed rows go from each bucket and shard to each part
+    if docs.schema[id_col].dataType not in (T.LongType(), T.IntegerType(), T.ShortType(), T.ByteType()):
+        raise TypeError(f"{id_col} is to be an integer, since smaller ids come first")
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     answers = _answers(_postings(slim, buckets, parts, settled=False), parts, width)
     texts = _postings(slim, buckets, parts, settled=True)
