@@ -16,8 +16,9 @@ and the components of these links, by a token-group matrix.
 Nothing is capped: frequent tokens and large groups cost more tasks, not lost rows.
 
 Edge cases: null and blank texts have an empty set, link with nothing and are components of their own; texts with fewer
-words than n are one token; rows that repeat an id or text are equal sets; an empty table gives an empty
-result; columns other than id and text are not read.
+words than n are one token; rows that repeat a text are equal sets; rows that repeat an id with other texts are documents
+of their own under one id; a row without id has the component of an equal set that has one, else links with nothing, and is
+never dropped; an empty table gives an empty result; columns other than id and text are not read.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docgauge.llm.common import documents, materialise, ship, shuffle_width, sized
+from docgauge.llm.common import LOWER, UPPER, documents, materialise, ship, shuffle_width, sized, unwrapped, wrapped
 from docgauge.llm.components import connected
 from docgauge.llm.shingles import fingerprint, shingles
 
@@ -324,11 +325,25 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """docs with one document of each component, that with the smallest id; same columns."""
-    found = components(docs, id_col, text_col, words, percent)
-    lost = materialise(found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__lost")).distinct(), "lost")
-    return docs.join(sized(lost), F.col(id_col) == F.col("__lost"), "left_anti")
+    """docs with one document of each component, that with the smallest id; same columns. An id is dropped if none of its rows stands for a component."""
+    found = components(docs.select(F.col(id_col).alias("own_id"), F.col(text_col).alias("text")), "own_id", "text", words, percent)
+    lost = found.where("own_id is not null").groupBy("own_id").agg(F.bool_and(F.col("own_id") != F.col("component_id")).alias("copy")).where("copy")
+    lost = materialise(lost.select(F.col("own_id").alias("lost_id")), "lost")
+    return unwrapped(wrapped(docs, own_id=F.col(id_col)).join(sized(lost), F.col("own_id") == F.col("lost_id"), "left_anti"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     return components(documents(spark, sf_dir), words=4, percent=85)
+
+
+ORACLE_SQL = f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+shingle AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM w WHERE len(w) > 0)),
+size AS (SELECT doc_id, count(*) AS n FROM shingle GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM shingle a JOIN shingle b USING (s) WHERE a.doc_id < b.doc_id GROUP BY ALL),
+link AS (SELECT a, b FROM shared JOIN size x ON a = x.doc_id JOIN size y ON b = y.doc_id WHERE 100 * k >= 85 * (x.n + y.n - k)),
+edge AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach AS (SELECT DISTINCT a AS node, a AS other FROM edge UNION SELECT node, b FROM reach JOIN edge ON other = a)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(least_id, doc_id) AS component_id
+FROM documents LEFT JOIN size USING (doc_id) LEFT JOIN (SELECT node AS doc_id, min(other) AS least_id FROM reach GROUP BY node) USING (doc_id)
+"""

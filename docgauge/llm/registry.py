@@ -19,4 +19,5 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op9_exact_dedup": exact_dedup.ORACLE_SQL,
+    "op10_jaccard_join": jaccard_join.ORACLE_SQL,
 }

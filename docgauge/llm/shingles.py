@@ -68,5 +68,6 @@ def fingerprint(tokens: np.ndarray) -> int:
     """64 bits of a set, as a signed integer."""
     if not len(tokens):
         return 0
-    total = mix(tokens ^ _M1).sum(dtype=np.uint64) ^ (np.bitwise_xor.reduce(tokens) * _M1)
-    return int(mix(np.array([total + np.uint64(len(tokens))], np.uint64)).view(np.int64)[0])
+    # Arrays of one number wrap around without a warning, which scalars don't.
+    total = mix(tokens ^ _M1).sum(dtype=np.uint64, keepdims=True) ^ (np.bitwise_xor.reduce(tokens, keepdims=True) * _M1)
+    return int(mix(total + np.uint64(len(tokens))).view(np.int64)[0])

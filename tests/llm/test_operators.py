@@ -438,6 +438,19 @@ def test_substring_dedup(spark, docs, monkeypatch, shard, hot):
     assert all(hashlib.sha256(bytes(r["kept"])).hexdigest() == r["kept_sha256"] for r in got.values())
 
 
+def test_substring_dedup_many_short_texts_with_one_gram(spark):
+    texts = {i: f"{i % 700:04d} all of these texts share this line of theirs, as it stands. {i}" for i in range(70_000)}
+    df = spark.createDataFrame([(i, t) for i, t in texts.items()], "doc_id long, text string").repartition(1).sortWithinPartitions(F.xxhash64("doc_id"))
+    got = rows(substring_dedup.deduplicate(df, with_kept=False))
+    want = removed(texts)
+    assert {i: tuple(r[c] for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256")) for i, r in got.items()} == want
+
+
+def test_substring_dedup_wants_integers(spark):
+    with pytest.raises(TypeError, match="integer"):
+        substring_dedup.deduplicate(spark.createDataFrame([("a", "x")], "doc_id string, text string"))
+
+
 def test_substring_dedup_edges(spark):
     twice = spark.createDataFrame([(1, "x" * 100, None, None, 0), (1, "x" * 100, None, None, 0), (None, "x" * 100, None, None, 0)], DOCS)
     assert [r["n_removed"] for r in substring_dedup.deduplicate(twice).collect()] == [0, 0, 0]
@@ -536,3 +549,6 @@ def test_jaccard_edges(spark, docs):
     assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.components(same).collect()) == [(2, 0, 2), (3, 0, 3), (4, 1, 4), (5, 1, 4), (5, 1, 4)]
     kept = jaccard_join.deduplicate(docs)
     assert kept.columns == docs.columns
+    text = words(random.Random(14), 60)
+    shared = spark.createDataFrame([(1, text), (2, text + " end"), (2, "another text of its own"), (3, text), (None, text), (None, "alone")], "doc_id long, text string")
+    assert sorted((str(r["doc_id"]), r["text"]) for r in jaccard_join.deduplicate(shared).collect()) == sorted([("1", text), ("2", text + " end"), ("2", "another text of its own"), ("None", text), ("None", "alone")])

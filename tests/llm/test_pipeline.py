@@ -41,6 +41,23 @@ def test_stages(spark, tmp_path):
     assert np.sum([p["length"] for p in whole]) == np.sum([p["length"] for p in pieces])
 
 
+def test_stages_on_empty_tables_and_odd_rows(spark, tmp_path):
+    kind = DOCS + ", row string, digests string, lost_id string, spans string"
+    made = [(1, None), (2, ""), (3, None), (4, "x"), (4, "y"), (None, "z z z")]
+    odd = spark.createDataFrame([(i, t, None, None, 0, "r", "d", "l", "s") for i, t in made], kind)
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for docs in (odd, odd.limit(0)):
+        now, n = docs, docs.count()
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            now = stage(spark, now, str(tmp_path))
+            assert now.columns == docs.columns, name
+            now = spark.createDataFrame(now.collect(), docs.schema)
+        left = sorted(((r["doc_id"], r["text"]) for r in now.collect()), key=str)
+        assert left == (sorted([(3, None), (4, "x"), (4, "y"), (None, "z z z")], key=str) if n else [])
+        pieces = corpus_pipeline.STAGES[-1][1](spark, now, str(tmp_path)).collect()
+        assert sorted(p["doc_tokens"] for p in pieces) == ([1, 2, 2, 4] if n else [])
+
+
 def test_packed_pieces_hold_their_ids(spark):
     from tokenizers import Tokenizer
 
