@@ -4,6 +4,11 @@ Each stage takes (spark, docs, sf_dir) and works on all rows of docs. All but th
 documents: rejected documents, exact copies, and all but one document of each group of near copies are gone, and
 secrets are put out of the texts. The last returns the pieces of the packed sequences. A stage's near copies share five-word
 n-grams with a similarity of 0.8 or more.
+
+Edge cases: null and empty texts go through every stage as empty ones (the classifier scores them, all of one kind are one
+exact copy group, the last stage gives them a piece of one id); rows that repeat an id are kept or dropped together by the
+near-copy stage and each for itself by the others; an empty table gives an empty result; further columns of documents,
+whatever their names, reach all stages but the last.
 """
 
 from __future__ import annotations
