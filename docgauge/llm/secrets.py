@@ -163,12 +163,14 @@ def _threshold(random_: DataFrame, ordinary: DataFrame, table: list[float]) -> f
 
 
 def _ratio(value: Column, table: Column) -> Column:
-    """Log-likelihood ratio of all steps of a string."""
-    chars = F.split(value, "")
+    """Log-likelihood ratio of all steps of a string, in time linear in its length.
+
+    The characters' places are bound to a variable of a lambda: as an expression they would be worked out again for each step.
+    """
     n = len(ALPHABET)
-    place = F.transform(chars, lambda c: F.instr(F.lit(ALPHABET), c) - 1)
-    total = F.aggregate(F.sequence(F.lit(0), F.size(place) - 2), F.lit(0.0), lambda acc, i: acc + F.get(table, F.get(place, i) * n + F.get(place, i + 1)))
-    return total
+    place = F.transform(F.split(value, ""), lambda c: F.instr(F.lit(ALPHABET), c) - 1)
+    total = lambda p: F.aggregate(F.sequence(F.lit(0), F.size(p) - 2), F.lit(0.0), lambda acc, i: acc + F.get(table, F.get(p, i) * n + F.get(p, i + 1)))
+    return F.get(F.transform(F.array(place), total), F.lit(0))
 
 
 def _free(spans: Column) -> Column:
