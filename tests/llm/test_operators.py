@@ -374,6 +374,19 @@ def test_secrets_verdicts_by_hand(spark):
         assert r["spans"] == joined_by_hand(sorted(want))
 
 
+def test_secrets_ratio_of_long_strings(spark):
+    rng = random.Random(3)
+    table = [rng.uniform(-2, 2) for _ in secrets.ALPHABET for _ in secrets.ALPHABET]
+    values = ["ab", "Zx81kQpLm20v", "".join(rng.choices(secrets.ALPHABET, k=60_000))]
+    got = spark.createDataFrame([(v,) for v in values], "s string").select("s", secrets._ratio(F.col("s"), F.lit(table)).alias("r"))
+    began = time.time()
+    got = {r["s"]: r["r"] for r in got.collect()}
+    assert time.time() - began < 30  # a ratio that reads the whole string for each step takes hours
+    place = secrets.ALPHABET.index
+    for v in values:
+        assert got[v] == pytest.approx(sum(table[place(a) * len(secrets.ALPHABET) + place(b)] for a, b in zip(v, v[1:])))
+
+
 def test_secrets_many_matches_in_one_text(spark):
     text = "".join(f"token=abcdef{i:06d} é " for i in range(100_000))
     df = spark.createDataFrame([(1, text)], "doc_id long, text string")
