@@ -3,8 +3,10 @@
 A page is read as blocks of text, each with the path of elements from the root to it (inline elements left out, classes
 and ids kept). Text length, share of link text and punctuation are summed for each distinct path and divided by the
 number of its blocks. In page order these ratios are smoothed over neighbours in the same container, fused into one figure
-for each path, and paths above a share of the largest are content, inside an article too. Paths below elements that never hold the article (menus, footers, forms,
-scripts) or whose class or id says so (adverts, comments, notices) are left out beforehand, unless a form or a named
+for each path, and paths above a share of the largest are content, inside an article too. On a page that marks no article
+the figure is multiplied by the share that the path's container has of the text of the fullest one, so that a sentence of
+an advert beside the article goes, and so does a lead that stands in a small container of its own. Paths below elements
+that never hold the article (menus, footers, forms, scripts) or whose class or id says so (adverts, comments, notices) are left out beforehand, unless a form or a named
 element holds the article itself or, without one, most of the page's text; where the page marks an
 article only what is inside counts. Short paragraphs, list items and cells beside content, in the same parent, belong to
 it, and so do headings of an article above content, linked or not.
@@ -52,6 +54,7 @@ SMOOTH, LEAST, LINKS = (0.2, 0.6, 0.2), 0.15, 0.5
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*>|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _WORD = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
+_NUMBER = re.compile(r"\d+")
 _SPACE = re.compile(r"\s+")
 _PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？]")
 
@@ -135,9 +138,11 @@ def blocks_of(html: str) -> list[Block]:
                     break
                 if stack[k][0] not in INLINE and stack[k][0] not in CLOSES_ITSELF:
                     break
-        elif name not in INLINE and stack and any(n == "p" for n, *_ in stack[-4:]):  # a block ends an open paragraph
-            k = max(k for k in range(len(stack)) if stack[k][0] == "p")
-            if all(n in INLINE for n, *_ in stack[k + 1 :]):
+        elif name not in INLINE:  # a block ends an open paragraph
+            k = len(stack) - 1
+            while k >= 0 and stack[k][0] in INLINE:
+                k -= 1
+            if k >= 0 and stack[k][0] == "p":
                 pop_to(k)
         names = " ".join(a or b or c for a, b, c in _NAMED.findall(m["rest"])) if m["rest"] else ""
         words = {w.lower() for w in _WORD.findall(names)} if names else ()
@@ -201,6 +206,11 @@ def content(blocks: list[Block]) -> list[Block]:
     smoothed: dict[tuple, list[float]] = {}
     last, (w0, w1, w2) = len(kept) - 1, SMOOTH
     where = {p: _container(p) for p in sums}
+    held: dict[tuple, float] = {}
+    if not kept[0].inside:
+        for p, (_, c, links, _) in sums.items():
+            k = _pool(where[p])
+            held[k] = held.get(k, 0) + max(0.0, c - links)
     for i, b in enumerate(kept):
         # A neighbour in another container says nothing about this block, which then stands in for it.
         a, z = (k if 0 <= k <= last and where[kept[k].path] == where[b.path] else i for k in (i - 1, i + 1))
@@ -208,7 +218,7 @@ def content(blocks: list[Block]) -> list[Block]:
         s = smoothed.setdefault(b.path, [0.0, 0.0])
         s[0] += fused
         s[1] += 1
-    fused = {p: total / n for p, (total, n) in smoothed.items()}
+    fused = {p: total / n * _weight(held, where[p]) for p, (total, n) in smoothed.items()}
     least = LEAST * max(fused.values())
     chosen = {p for p, f in fused.items() if f >= least and sums[p][2] <= LINKS * sums[p][1]}
     parents = {where[p] for p in chosen}
@@ -223,6 +233,16 @@ def content(blocks: list[Block]) -> list[Block]:
     return [b for b in kept if b.path in chosen or beside(b)]
 
 
+def _pool(container: tuple) -> tuple:
+    """A container's path without sections' names and numbers in names, so that the sections of a text count as one."""
+    return tuple("section" if step.startswith("section.") else _NUMBER.sub("", step) if "." in step else step for step in container)
+
+
+def _weight(held: dict[tuple, float], container: tuple) -> float:
+    """On pages that mark no article: a container's own text as a share of the fullest container's."""
+    return held[_pool(container)] / (max(held.values()) or 1) if held else 1.0
+
+
 def _container(path: tuple) -> tuple:
     """The path of what holds a block, without lists, tables and the like; a list with a class or id is a container."""
     k = len(path) - 1

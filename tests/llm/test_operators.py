@@ -212,6 +212,69 @@ def test_html_long_comments_stay_out():
         assert html_text.main_text(page) == f"Title\n\n{SENTENCE * 3}".strip()
 
 
+def plain_ratios(blocks):
+    """Texts kept of (path, text) blocks of a page without links, names and marked article, path by path from the whole list."""
+    def mean(path, k):
+        own = [(len(x), sum(x.count(c) for c in ".,;:!?"))[k] for q, x in blocks if q == path]
+        return sum(own) / len(own)
+
+    def of(i, j, k):
+        same = 0 <= j < len(blocks) and blocks[j][0][:-1] == blocks[i][0][:-1]
+        return mean(blocks[j if same else i][0], k)
+
+    def weight(path):
+        text = {q[:-1]: sum(len(x) for r, x in blocks if r[:-1] == q[:-1]) for q, _ in blocks}
+        return text[path[:-1]] / max(text.values())
+
+    def smooth(i, k):
+        return 0.2 * of(i, i - 1, k) + 0.6 * of(i, i, k) + 0.2 * of(i, i + 1, k)
+
+    fused = {}
+    for path in {q for q, _ in blocks}:
+        own = [smooth(i, 0) * (1 + smooth(i, 1)) ** 0.5 for i, (q, _) in enumerate(blocks) if q == path]
+        fused[path] = sum(own) / len(own) * weight(path)
+    chosen = {q for q, f in fused.items() if f >= 0.15 * max(fused.values())}
+    return [x for q, x in blocks if q in chosen or q[-1] == "p" and any(q[:-1] == c[:-1] for c in chosen)]
+
+
+def test_html_ratios_as_plain():
+    dice, kept = random.Random(5), 0
+    for _ in range(200):
+        blocks, html = [], ""
+
+        def grow(path, depth):
+            nonlocal html
+            for _ in range(dice.randrange(1, 5)):
+                name = dice.choice(["div", "p", "section"] if depth < 4 else ["p"])
+                html += f"<{name}>"
+                if name == "p" or dice.random() < 0.2:
+                    text = " ".join(dice.choice(["word", "so,", "it.", "longer;"]) for _ in range(dice.choice([1, 4, 30, 90])))
+                    blocks.append(((*path, name), text))
+                    html += text
+                else:
+                    grow((*path, name), depth + 1)
+                html += f"</{name}>"
+
+        grow(("html", "body"), 0)
+        want = plain_ratios(blocks)
+        kept += len(want) < len(blocks)
+        assert html_text.main_text(f"<html><body>{html}</body></html>") == "\n\n".join(want)
+    assert kept > 50
+
+
+def test_html_ratios_decide_without_names(monkeypatch):
+    beside = "<div>Shoes are cheap today, look.</div>"
+    page = f"<body>{beside}<div><h1>Title</h1><p>{SENTENCE * 3}</p><p>Short.</p><p>{SENTENCE * 2}</p></div><div><div><div>Others wrote this, too.</div></div></div>{beside}</body>"
+    text = f"{(SENTENCE * 3).strip()}\n\nShort.\n\n{(SENTENCE * 2).strip()}"
+    assert html_text.main_text(page).endswith(text) and "Shoes" not in html_text.main_text(page) and "Others" not in html_text.main_text(page)
+    monkeypatch.setattr(html_text, "LEAST", 0.0)  # with the ratios switched off
+    assert html_text.main_text(page).count("Shoes") == 2 and "Others" in html_text.main_text(page)
+
+
+def test_html_deep_inline_closes_paragraph():
+    assert html_text.main_text("<p>a<b><i><em><u><s>b<div>c</div>") == "ab\n\nc"
+
+
 def test_html_edges(spark):
     assert html_text.main_text(None) == html_text.main_text("") == html_text.main_text("<script>x") == ""
     assert html_text.main_text("just text") == "just text"
