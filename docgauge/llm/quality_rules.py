@@ -142,3 +142,42 @@ def verdicts(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 def query(spark, sf_dir: str) -> DataFrame:
     return verdicts(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+_WORDS = r"[^\x20\x09-\x0D]+"
+_VALUE = "CASE rule " + " ".join(f"WHEN '{name}' THEN {stat.replace('/ n_words', '/ nullif(n_words, 0)')}" for name, stat, _ in RULES) + " END"
+_GRID = ", ".join(f"({k}, '{name}', {cutoff}::DOUBLE)" for k, (name, _, grid) in enumerate(RULES) for cutoff in grid)
+_EACH = RISK / len(RULES)
+
+#: The same counts, proofs and verdicts; the binomial is summed by its terms' logarithms.
+ORACLE_SQL = f"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_WORDS}') AS w FROM documents),
+words AS (SELECT r, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM t),
+win AS (SELECT r, i, x || ' ' || lead(x) OVER p || ' ' || lead(x, 2) OVER p AS s FROM words WINDOW p AS (PARTITION BY r ORDER BY i)),
+twice AS (SELECT r, i FROM win WHERE s IS NOT NULL QUALIFY count(*) OVER (PARTITION BY r, s) > 1),
+rep AS (SELECT r, count(DISTINCT i + j) AS n FROM twice, (VALUES (0), (1), (2)) AS o(j) GROUP BY r),
+lines AS (SELECT r, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{_WORDS}')) AS l FROM t),
+c AS (
+  SELECT r, doc_id, stratum, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(t) - length(regexp_replace(t, '{SYMBOLS}', '', 'g')) AS n_symbols,
+    len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words, len(w) < 50 OR 100 * coalesce(n, 0) > 50 * len(w) AS base_failed
+  FROM t JOIN lines USING (r) LEFT JOIN rep USING (r)
+),
+grid AS (SELECT * FROM (VALUES {_GRID}) AS g(place, rule, cutoff)),
+good AS (SELECT doc_id FROM labels GROUP BY doc_id HAVING min(quality) = 1),
+held AS (SELECT * FROM c SEMI JOIN good USING (doc_id) WHERE NOT base_failed),
+tests AS (SELECT stratum, rule, cutoff, count(*) AS n, count(*) FILTER (WHERE {_VALUE} > cutoff) AS k FROM held, grid GROUP BY ALL),
+per AS (SELECT stratum, max(n) AS n FROM tests GROUP BY stratum),
+sized AS (SELECT *, ln({DELTA} / ((count(*) OVER () + 1) * {len(RULES)})) / ln(1 - {_EACH!r}) AS need, sum(n) OVER (ORDER BY n, stratum ROWS UNBOUNDED PRECEDING) - n AS smaller FROM per),
+dealt AS (SELECT *, bool_or(n >= need AND (smaller = 0 OR smaller >= need)) OVER (ORDER BY n, stratum ROWS UNBOUNDED PRECEDING) AS alone FROM sized),
+levels AS (SELECT stratum, CASE WHEN alone THEN stratum END AS pool, {DELTA} / ((count(*) FILTER (WHERE alone) OVER () + max((NOT alone)::INT) OVER ()) * {len(RULES)}) AS level FROM dealt),
+summed AS (SELECT stratum, rule, cutoff, level, sum(k) OVER g AS k, sum(n) OVER g AS n FROM tests JOIN levels USING (stratum) WINDOW g AS (PARTITION BY pool, rule, cutoff)),
+proved AS (
+  SELECT stratum, rule, min(cutoff) AS limit_ FROM summed WHERE k <= n * {_EACH!r}
+    AND list_sum(list_transform(range(0, k::BIGINT + 1), lambda i: exp(lgamma(n + 1.0::DOUBLE) - lgamma(i + 1.0::DOUBLE) - lgamma(n - i + 1.0::DOUBLE) + i * ln({_EACH!r}) + (n - i) * ln(1 - {_EACH!r})))) <= level
+  GROUP BY ALL
+),
+broken AS (
+  SELECT r, string_agg(rule, ',' ORDER BY place) AS broken FROM c JOIN proved USING (stratum) JOIN (SELECT DISTINCT place, rule FROM grid) USING (rule) WHERE {_VALUE} > limit_ GROUP BY r
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND broken IS NULL AS kept, coalesce(broken, '') AS broken FROM c LEFT JOIN broken USING (r)
+"""

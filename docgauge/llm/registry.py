@@ -18,6 +18,8 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op5_quality_rules": quality_rules.ORACLE_SQL,
+    "op8_substring_dedup": substring_dedup.ORACLE_SQL,
     "op9_exact_dedup": exact_dedup.ORACLE_SQL,
     "op10_jaccard_join": jaccard_join.ORACLE_SQL,
 }

@@ -498,3 +498,19 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def query(spark, sf_dir: str) -> DataFrame:
     return deduplicate(documents(spark, sf_dir), with_kept=False)
+
+
+#: Every window of every text, as hex digits; rows that repeat an id stay rows of their own.
+ORACLE_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT r, doc_id, i, substr(h, 2 * i + 1, {2 * LENGTH}) AS s FROM (SELECT *, unnest(range(0, len(h) // 2 - {LENGTH - 1})) AS i FROM d)),
+least AS (SELECT s, min(doc_id) AS first FROM w GROUP BY s),
+hit AS (SELECT r, i, lag(i) OVER (PARTITION BY r ORDER BY i) AS before FROM w JOIN least USING (s) WHERE first < doc_id),
+run AS (SELECT r, i, sum(CASE WHEN before IS NULL OR i > before + {LENGTH} THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY i) AS k FROM hit),
+span AS (SELECT r, k, min(i) AS low, max(i) + {LENGTH} AS high FROM run GROUP BY r, k),
+gap AS (SELECT r, k, low, high, lag(high, 1, 0) OVER (PARTITION BY r ORDER BY low) AS done FROM span),
+cut AS (SELECT r, count(*) AS n_spans, sum(high - low) AS n_removed, max(high) AS done, string_agg(substr(h, 2 * done + 1, 2 * (low - done)), '' ORDER BY low) AS kept FROM gap JOIN d USING (r) GROUP BY r)
+SELECT doc_id, len(h) // 2 AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(done, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN cut USING (r)
+"""

@@ -9,6 +9,7 @@ import time
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -628,3 +629,38 @@ def test_jaccard_edges(spark, docs):
     text = words(random.Random(14), 60)
     shared = spark.createDataFrame([(1, text), (2, text + " end"), (2, "another text of its own"), (3, text), (None, text), (None, "alone")], "doc_id long, text string")
     assert sorted((str(r["doc_id"]), r["text"]) for r in jaccard_join.deduplicate(shared).collect()) == sorted([("1", text), ("2", text + " end"), ("2", "another text of its own"), ("None", text), ("None", "alone")])
+
+
+def as_sql(folder, sql):
+    con = duckdb.connect()
+    for path in folder.glob("*.parquet"):
+        con.execute(f"CREATE VIEW {path.stem} AS SELECT * FROM '{path}/*.parquet'")
+    found = con.execute(sql)
+    names = [d[0] for d in found.description]
+    return sorted((dict(zip(names, r)) for r in found.fetchall()), key=repr)
+
+
+@pytest.mark.parametrize("n", [40, 3500])
+def test_quality_verdicts_as_sql(spark, tmp_path, n):
+    dice = random.Random(n)
+    lang = lambda i: "fr" if i % 20 == 0 else None if i % 33 == 0 else "en"
+    made = [(i, words(dice, dice.choice([60, 130, 220])), lang(i), "s", 0) for i in range(n)]
+    labels = [(i, 1) for i in range(n)] + [(3, 0)]
+    odd = ["a # b " * 40 + words(dice, 200), words(dice, 90) + "\n" + "same line\n" * 9, "so it goes " * 30, "é ü " * 60, "", "  \n ", None, "x" * 5000, words(dice, 300)]
+    made += [(n + k, t, lang(k + 1), "s", 0) for k, t in enumerate(odd * 2)]
+    labels += [(n + k, 0) for k in range(len(odd))]
+    spark.createDataFrame(made, DOCS).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(labels, "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    got = sorted((r.asDict() for r in quality_rules.query(spark, str(tmp_path)).collect()), key=repr)
+    assert got == as_sql(tmp_path, quality_rules.ORACLE_SQL)
+    assert any(r["broken"] for r in got) == (n > 2871)
+
+
+def test_substring_dedup_as_sql(spark, tmp_path):
+    dice = random.Random(8)
+    parts = [words(dice, 12) for _ in range(12)] + ["é" * 40, "ab" * 60]
+    made = [(None if i % 41 == 0 else i // 2, None if i % 37 == 0 else " ".join(dice.choice(parts) + f" only {i}" for _ in range(dice.randrange(6)))[dice.randrange(9) :], "en", "s", 0) for i in range(150)]
+    spark.createDataFrame(made, DOCS).write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted((r.asDict() for r in substring_dedup.query(spark, str(tmp_path)).collect()), key=repr)
+    assert got == as_sql(tmp_path, substring_dedup.ORACLE_SQL)
+    assert sum(r["n_spans"] > 1 for r in got) > 5
