@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,15 +29,15 @@ def prompt_literals(spark, prompt: str, least: int = LEAST_LENGTH) -> list[str]:
     return spark.range(1).select(literals(F.lit(prompt), least).alias("x")).first()["x"]
 
 
-def echo_report(fields: DataFrame, wanted: Sequence[str]) -> DataFrame:
+def echo_report(fields: DataFrame, wanted: Sequence[str], fold: Callable[[Column], Column] = casefold) -> DataFrame:
     """For each literal that some case predicts: cases that predict it, that have it as truth, accuracies with and without, and whether that is suspicious.
 
     The literals are those of one prompt, so they stand in the plan. Each field is folded and looked at once, and what is
     rare (a hit) is what is shuffled. The totals travel as one more group; the accuracy of all other cases follows from them,
-    without a join or a second pass.
+    without a join or a second pass. Rows of one id are one case, unless case_pos tells them apart.
     """
-    listed = F.array(*[F.struct(F.lit(x).alias("own"), casefold(F.lit(x)).alias("folded")) for x in wanted]) if wanted else F.array().cast("array<struct<own:string,folded:string>>")
-    found = lambda c: let(casefold(F.col(c)), lambda v: F.transform(F.filter(listed, lambda x: F.coalesce(F.contains(v, x["folded"]), F.lit(False))), lambda x: x["own"]))
+    listed = F.array(*[F.struct(F.lit(x).alias("own"), fold(F.lit(x)).alias("folded")) for x in wanted]) if wanted else F.array().cast("array<struct<own:string,folded:string>>")
+    found = lambda c: let(fold(F.col(c)), lambda v: F.transform(F.filter(listed, lambda x: F.coalesce(F.contains(v, x["folded"]), F.lit(False))), lambda x: x["own"]))
     key = [c for c in ("case_id", "case_pos") if c in fields.columns]
     each = fields.select(*key, (F.col("outcome") == "correct").cast("int").alias("ok"), found("predicted").alias("said"), found("truth").alias("true"))
     cases = each.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.sum("ok").alias("ok"), F.array_distinct(F.flatten(F.collect_list("said"))).alias("said"), F.array_distinct(F.flatten(F.collect_list("true"))).alias("true"))
