@@ -2,7 +2,7 @@
 
 import pytest
 
-NAMES = ("echo_report",)
+NAMES = ("echo_report", "suspicious_echoes")
 
 
 @pytest.fixture(scope="module")
