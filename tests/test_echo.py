@@ -2,7 +2,7 @@
 
 import pytest
 
-NAMES = ("echo_report", "suspicious_echoes")
+NAMES = ("echo_report", "suspicious_echoes", "top_echoes")
 
 
 @pytest.fixture(scope="module")
