@@ -36,7 +36,9 @@ def echo_report(fields: DataFrame, wanted: Sequence[str], fold: Callable[[Column
     rare (a hit) is what is shuffled. The totals travel as one more group; the accuracy of all other cases follows from them,
     without a join or a second pass. Rows of one id are one case, unless case_pos tells them apart.
     """
-    listed = F.array(*[F.struct(F.lit(x).alias("own"), fold(F.lit(x)).alias("folded")) for x in wanted]) if wanted else F.array().cast("array<struct<own:string,folded:string>>")
+    # Folded once, here: in the plan a fold that the optimizer can't work out would be redone for each row.
+    folded = fields.sparkSession.range(1).select(F.array(*[fold(F.lit(x).cast("string")) for x in wanted])).first()[0] if wanted else []
+    listed = F.array(*[F.struct(F.lit(x).cast("string").alias("own"), F.lit(y).cast("string").alias("folded")) for x, y in zip(wanted, folded, strict=True)]) if wanted else F.array().cast("array<struct<own:string,folded:string>>")
     found = lambda c: let(fold(F.col(c)), lambda v: F.transform(F.filter(listed, lambda x: F.coalesce(F.contains(v, x["folded"]), F.lit(False))), lambda x: x["own"]))
     key = [c for c in ("case_id", "case_pos") if c in fields.columns]
     each = fields.select(*key, (F.col("outcome") == "correct").cast("int").alias("ok"), found("predicted").alias("said"), found("truth").alias("true"))
