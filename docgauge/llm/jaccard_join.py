@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docgauge.llm.common import LOWER, UPPER, documents, materialise, ship, shuffle_width, sized, unwrapped, wrapped
+from docgauge.llm.common import LOWER, UPPER, documents, in_arrow, materialise, ship, shuffle_width, sized, unwrapped, wrapped
 from docgauge.llm.components import connected
 from docgauge.llm.shingles import fingerprint, shingles
 
@@ -85,7 +85,7 @@ def sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
                 fp.append(fingerprint(t))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in (n, s, fp))], names=["doc_id", "n", "s", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, s long, fp long")
+    return in_arrow(docs.select("doc_id", "text"), run, f"doc_id {kind}, n long, s long, fp long")
 
 
 def _postings(docs: DataFrame, words: int, percent: int, buckets: int) -> DataFrame:
@@ -94,9 +94,11 @@ def _postings(docs: DataFrame, words: int, percent: int, buckets: int) -> DataFr
     def flush(held: list[np.ndarray], fps: list[int]) -> Iterator[pa.RecordBatch]:
         tokens = np.concatenate(held)
         place = np.repeat(np.arange(len(held), dtype=np.uint32), [len(x) for x in held])
-        bucket = (tokens % np.uint64(buckets)).astype(np.int64)
+        held.clear()  # the sets, which views of them held whole, go before the copies below are made
+        bucket = (tokens % np.uint64(buckets)).astype(np.int32)
         order = np.argsort(bucket, kind="stable")
         tokens, place, bucket = tokens[order], place[order], bucket[order]
+        del order
         cuts = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1))
         out, fp = ([], [], [], []), np.array(fps, np.int64)
         for a, z in zip(cuts, cuts[1:], strict=False):
@@ -126,7 +128,7 @@ def _postings(docs: DataFrame, words: int, percent: int, buckets: int) -> DataFr
         if held:
             yield from flush(held, fps)
 
-    return docs.select("text").mapInArrow(run, "bucket long, tokens binary, place binary, fps binary")
+    return in_arrow(docs.select("text"), run, "bucket long, tokens binary, place binary, fps binary")
 
 
 def _shared(postings: DataFrame, parts: int, width: int) -> DataFrame:
@@ -155,7 +157,7 @@ def _shared(postings: DataFrame, parts: int, width: int) -> DataFrame:
                     c.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), *(pa.array(c, pa.binary()) for c in out[1:])], names=["part", "fps", "tokens", "counts"])
 
-    return _sorted(postings, "bucket", width).mapInArrow(run, "part long, fps binary, tokens binary, counts binary")
+    return in_arrow(_sorted(postings, "bucket", width), run, "part long, fps binary, tokens binary, counts binary")
 
 
 def _first_shared(shared: DataFrame, classes: DataFrame, parts: int, width: int, percent: int) -> DataFrame:
@@ -191,7 +193,7 @@ def _first_shared(shared: DataFrame, classes: DataFrame, parts: int, width: int,
             out_t, out_f = np.r_[t[keep], tokens[forced]], np.r_[f[keep], fps[forced]]
             yield pa.RecordBatch.from_arrays([pa.array(out_t.view(np.int64)), pa.array(out_f)], names=["token", "fp"])
 
-    return _sorted(rows, "part", width).mapInArrow(run, "token long, fp long")
+    return in_arrow(_sorted(rows, "part", width), run, "token long, fp long")
 
 
 def verify(tokens: list[np.ndarray], side: np.ndarray, percent: int) -> list[tuple[int, int]]:
@@ -284,7 +286,7 @@ def _links(docs: DataFrame, grouped: DataFrame, words: int, percent: int, width:
             out = pa.RecordBatch.from_arrays([*cols, pa.array([t.tobytes() for t in own], pa.binary())], names=["fp", "label", "blocks", "block", "tokens"])
             yield out.filter(same)
 
-    rows = texts.mapInArrow(tokenise, "fp long, label long, blocks int, block int, tokens binary")
+    rows = in_arrow(texts, tokenise, "fp long, label long, blocks int, block int, tokens binary")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     rows = rows.select("fp", "label", "block", "tokens", other.alias("other"))
     pair = F.xxhash64("label", F.least("block", "other"), F.greatest("block", "other"))
@@ -301,7 +303,7 @@ def _links(docs: DataFrame, grouped: DataFrame, words: int, percent: int, width:
                 a, b = zip(*found, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(fp[list(a)]), pa.array(fp[list(b)])], names=["a", "b"])
 
-    return _sorted(rows, "task", width).mapInArrow(run, "a long, b long")
+    return in_arrow(_sorted(rows, "task", width), run, "a long, b long")
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:

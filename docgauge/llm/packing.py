@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docgauge.llm.byte_bpe import GENERAL, Memo, built, splitter
-from docgauge.llm.common import documents, materialise, ship, shuffle_width
+from docgauge.llm.common import documents, in_arrow, materialise, ship, shuffle_width
 
 CAPACITY, CLOSING_ID = 1024, 0
 
@@ -87,7 +87,7 @@ def pieces(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id
                 columns = [part.column(0).take(place), *numbers, *[pa.array(cuts, pa.binary())] * with_ids]
                 yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in fields])
 
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, T.StructType(fields))
+    return in_arrow(docs.select(F.col(id_col), F.col(text_col)), run, T.StructType(fields))
 
 
 def shortest_pack_first(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, tuple[int, ...]]]:

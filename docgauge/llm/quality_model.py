@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docgauge.llm.common import documents, held, ship
+from docgauge.llm.common import documents, held, in_arrow, ship
 
 #: Labelled documents that the trees are fitted on, at most.
 TRAIN_ROWS = 20_000
@@ -156,7 +156,7 @@ def with_statistics(df: DataFrame, text_col: str = "text", into: str = "stats")
             new = pa.array([statistics(t) for t in batch.column(at).to_pylist()], pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([*[c for i, c in enumerate(batch.columns) if i != at], new], names=[*[f.name for f in rest], into])
 
-    return df.mapInArrow(run, T.StructType([*rest, T.StructField(into, T.ArrayType(T.DoubleType()))]))
+    return in_arrow(df, run, T.StructType([*rest, T.StructField(into, T.ArrayType(T.DoubleType()))]))
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = TRAIN_ROWS) -> Trees:
@@ -185,7 +185,7 @@ def score(docs: DataFrame, trees: Trees, text_col: str = "text", into: str = "sc
                 x = np.array([statistics(t) for t in part.column(at).to_pylist()], float).reshape(-1, WIDTH)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(trees.score(x), pa.float64())], names=[*part.schema.names, into])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(into, T.DoubleType())]))
+    return in_arrow(docs, run, T.StructType([*docs.schema.fields, T.StructField(into, T.DoubleType())]))
 
 
 def select_good(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:

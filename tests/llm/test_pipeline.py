@@ -69,3 +69,33 @@ def test_packed_pieces_hold_their_ids(spark):
     for i, text in texts.items():
         ids = np.frombuffer(b"".join(bytes(p["ids"]) for p in pieces if p["doc_id"] == i), "<u4").tolist()
         assert ids == [*own.encode(text, add_special_tokens=False).ids, 0]
+
+
+def test_tasks_give_back_memory(spark, monkeypatch):
+    import re
+    from pathlib import Path
+
+    import public_tokenizers
+    import pyarrow as pa
+
+    from docgauge.llm import jaccard_join, packing, quality_model
+
+    def anonymous() -> float:
+        return sum(map(int, re.findall(r"\nAnonymous:\s+(\d+)", Path("/proc/self/smaps_rollup").read_text()))) / 1024
+
+    docs = spark.createDataFrame([(1, "a b c d e f g")], "doc_id long, text string")
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, run, schema: run)
+    both = pa.RecordBatch.from_pydict({"doc_id": [1], "text": ["a b c d e f g"]})
+    runs = [
+        (jaccard_join.sets(docs, 5, 80), both),
+        (jaccard_join._postings(docs, 5, 80, 4), both.select(["text"])),
+        (quality_model.with_statistics(docs), both),
+        (packing.pieces(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN), both),
+    ]
+    for run, batch in runs:
+        list(run(iter([batch])))  # what stays, such as the vocabulary, is there from now on
+        blocks = [bytearray(b"x") * 100_000 for _ in range(2000)]
+        del blocks[::2]  # 100 MB in holes, which the C library keeps
+        before = anonymous()
+        list(run(iter([batch])))
+        assert anonymous() < before - 50
